@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from orrery.llm.bpe import op7_bpe
+from orrery.llm.langid import op2_langid
 from orrery.llm.quality import op10_quality
 from orrery.llm.tokenfiles import op9_token_files
+from orrery.llm.toxicity import op8_toxicity
 from orrery.llm.warc import op3_warc
 
 
 def queries() -> dict:
     return {
+        "op2_langid": op2_langid,
         "op3_warc": op3_warc,
         "op7_bpe": op7_bpe,
+        "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
     }
