@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from orrery.llm.bpe import op7_bpe
+from orrery.llm.jaccard import op6_jaccard
 from orrery.llm.langid import op2_langid
 from orrery.llm.quality import op10_quality
 from orrery.llm.tokenfiles import op9_token_files
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op2_langid": op2_langid,
         "op3_warc": op3_warc,
+        "op6_jaccard": op6_jaccard,
         "op7_bpe": op7_bpe,
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
