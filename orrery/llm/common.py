@@ -106,3 +106,25 @@ def held_out(doc_id: Column) -> Column:
 def lower_words(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lower-cased; bytes.lower and bytes.split know just ASCII."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+#: The bitmap that split_by_ids() broadcasts has at most so many bits, in rows of 64.
+BITMAP_BITS = 1 << 26
+
+
+def split_by_ids(rows: DataFrame, id_col: str, ids: DataFrame, bits_an_id: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id may be in `ids` (one column, read again from storage), and rows whose id is not.
+
+    Long texts stay where they are: a hashed bitmap of bounded size is broadcast instead of the ids. The
+    first part still needs an exact join; with more ids than the bitmap can tell apart it only grows.
+    """
+    n = ids.count()
+    bits = 1 << 12
+    while bits < min(BITMAP_BITS, bits_an_id * n):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    held = ids.select(place(ids.columns[0]).alias("__at"))
+    held = held.groupBy(F.expr("__at div 64").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__at % 64 as int))")).alias("__mask"))
+    marked = rows.withColumn("__at", place(id_col)).withColumn("__word", F.expr("__at div 64")).join(F.broadcast(held), "__word", "left")
+    there = F.expr("coalesce(getbit(__mask, cast(__at % 64 as int)) = 1, false)")
+    return marked.where(there).select(*rows.columns), marked.where(~there).select(*rows.columns)

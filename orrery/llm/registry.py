@@ -5,6 +5,7 @@ from __future__ import annotations
 from orrery.llm.bpe import op7_bpe
 from orrery.llm.jaccard import op6_jaccard
 from orrery.llm.langid import op2_langid
+from orrery.llm.pii import op1_pii
 from orrery.llm.quality import op10_quality
 from orrery.llm.tokenfiles import op9_token_files
 from orrery.llm.toxicity import op8_toxicity
@@ -13,6 +14,7 @@ from orrery.llm.warc import op3_warc
 
 def queries() -> dict:
     return {
+        "op1_pii": op1_pii,
         "op2_langid": op2_langid,
         "op3_warc": op3_warc,
         "op6_jaccard": op6_jaccard,
