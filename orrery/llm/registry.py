@@ -9,6 +9,7 @@ from orrery.llm.pii import op1_pii
 from orrery.llm.quality import op10_quality
 from orrery.llm.tokenfiles import op9_token_files
 from orrery.llm.toxicity import op8_toxicity
+from orrery.llm.urlfilter import op5_url_filter
 from orrery.llm.warc import op3_warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_pii": op1_pii,
         "op2_langid": op2_langid,
         "op3_warc": op3_warc,
+        "op5_url_filter": op5_url_filter,
         "op6_jaccard": op6_jaccard,
         "op7_bpe": op7_bpe,
         "op8_toxicity": op8_toxicity,
