@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_blocks, shared_folder, table, written
+from orrery.llm.common import map_blocks, shared_folder, split_by_ids, table, written
 from orrery.llm.graph import components, forest
 
 CACHE_WORDS = 400_000
 #: Candidate sets meet in tasks of at most about so many shingles, or so many sets.
-GROUP_SHINGLES, GROUP_SETS = 2_000_000, 3_000
+GROUP_SHINGLES, GROUP_SETS = 1_000_000, 1_000
 #: A partition of signatures holds about so many bytes.
 PART_BYTES = 12 << 20
 #: Shingles in more than this share of the texts are not telling; it steers the search and changes no result.
@@ -316,10 +316,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     coarse = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
     members = written(classes.join(coarse, "node").select(F.col("root").alias("comp"), "rep", "n"), folder)
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / GROUP_SHINGLES), F.ceil(F.count(F.lit(1)) / GROUP_SETS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    members = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), (F.col("block") > o).cast("int").alias("side")))
     source = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    members = members.select("comp", "rep", "block", "blocks").join(source, "rep").select("comp", F.col("rep").alias("doc_id"), "text", F.explode(every).alias("x")).select("comp", "x.*", "doc_id", "text")
+    source, _ = split_by_ids(source, "rep", members.select("rep"))
+    members = placed.select("comp", "rep", "block", "blocks").join(source, "rep").select("comp", F.col("rep").alias("doc_id"), "text", F.explode(every).alias("x")).select("comp", "x.*", "doc_id", "text")
     roots = components(verify(members, size, percent))
     merged = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     return texts.join(merged, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
