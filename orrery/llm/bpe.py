@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import map_blocks, table
 from orrery.llm.pretokens import slices
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 450_000
 
 
 @functools.cache
@@ -76,49 +77,62 @@ def _merge_long(parts: list[bytes], rank: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(rank[p] for p, ok in zip(parts, alive, strict=True) if ok)
 
 
-class Merged(dict):
-    """Piece to ids; filled on demand and emptied when it has CACHE_PIECES."""
+class Pieces:
+    """Ids of pieces as packed integers, computed once and kept in two generations of CACHE_PIECES each.
 
-    def __init__(self, rank: dict[bytes, int]):
-        super().__init__()
-        self.rank = rank
+    When the young one is full it becomes the old one; what is still in use moves back by itself.
+    """
 
-    def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        ids = merge(piece, self.rank)
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    def __init__(self, solve: Callable[[list[bytes]], list[bytes]], kind: str):
+        self.solve, self.kind = solve, np.dtype(kind)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        found = [*map(self.young.get, pieces)]
+        if None in found:
+            if len(self.young) >= CACHE_PIECES:
+                self.old, self.young = self.young, {}
+            missing, holes = [], [k for k, ids in enumerate(found) if ids is None]
+            for p in {pieces[k] for k in holes}:
+                ids = self.old.get(p)
+                if ids is None:
+                    missing.append(p)
+                else:
+                    self.young[p] = ids
+            own = dict(zip(missing, self.solve(missing), strict=True))
+            self.young.update((p, ids) for p, ids in own.items() if len(p) <= 64)
+            for k in holes:
+                found[k] = self.young.get(pieces[k]) or own[pieces[k]]
+        return found
 
 
 @functools.cache
-def merged(path: str) -> Merged:
-    return Merged(ranks(path))
-
+def merged(path: str) -> Pieces:
+    rank = ranks(path)
+    kind = "<u2" if max(rank.values()) < 1 << 16 else "<u4"
+    return Pieces(lambda pieces: [np.array(merge(p, rank), kind).tobytes() for p in pieces], kind)
 
-def encode_block(texts: list[str | None], lookup=None, many=None) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids of the texts and where each text's ids start, the end included.
 
-    lookup: piece to ids; many instead: pieces to their ids.
-    """
+def encode_block(texts: list[str | None], pieces_of: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of the texts and where each text's ids start, the end included."""
     data, at, first = slices(texts)
-    pieces = [data[a:b] for a, b in itertools.pairwise(at)]
-    found = many(pieces) if many else [*map(lookup, pieces)]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(ends[-1])), ends[first]
+    found = pieces_of([data[a:b] for a, b in itertools.pairwise(at)])
+    width = pieces_of.kind.itemsize
+    ends = np.zeros(len(found) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // width, out=ends[1:])
+    return np.frombuffer(b"".join(found), pieces_of.kind), ends[first]
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids array<int> of every whole text."""
 
     def make():
-        lookup = merged(vocabulary).__getitem__
+        pieces = merged(vocabulary)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, offsets = encode_block(batch.column(1).to_pylist(), lookup)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            ids, offsets = encode_block(batch.column(1).to_pylist(), pieces)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
             return pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
         return work

@@ -143,7 +143,8 @@ def slices(texts: list[str | None]) -> tuple[bytes, list[int], np.ndarray]:
     else:
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         cut = boundaries(points, starts[:-1])
-        width = np.ones(len(points) + 1, np.int64)
-        width[:-1] += (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        at = (np.cumsum(width) - width)[cut]
+        more = (points >= 0x80).view(np.uint8) + (points >= 0x800) + (points >= 0x10000)
+        extra = np.zeros(len(points) + 1, np.int32)
+        np.cumsum(more, out=extra[1:])
+        at = cut + extra[cut]
     return data, [*at.tolist(), len(data)], np.searchsorted(cut, starts)

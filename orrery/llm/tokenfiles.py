@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import zlib
 
 import numpy as np
@@ -21,54 +22,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.bpe import CACHE_PIECES, encode_block
+from orrery.llm.bpe import Pieces, encode_block
 from orrery.llm.common import blocks, shared_folder, small_batches, table, written
 from orrery.llm.files import create, mapped, target
 
 MANIFEST = "part long, ids_path string, idx_path string, width int, n_docs long, n_tokens long"
 
 
+def _byte_characters() -> dict[int, int]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_CHARACTERS = _byte_characters()
+
+
 class Library:
     """Ids by the tokenizers library. Pieces are encoded by it once and cached; a text that holds one of
     the vocabulary's added tokens goes to it whole, as these are found before any split."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        if type(self.model.pre_tokenizer).__name__ != "ByteLevel" or self.model.normalizer is not None:
+            raise ValueError(f"{path}: not a byte-level vocabulary")
         self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, tuple[int, ...]] = {}
-
-    def lookup(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        found = [*map(self.cache.get, pieces)]
-        missing = [*{p for p, ids in zip(pieces, found, strict=True) if ids is None}]
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_PIECES:
-                self.cache.clear()
-                missing = [*set(pieces)]
-            for k in range(0, len(missing), 2000):
-                part = missing[k : k + 2000]
-                for piece, e in zip(part, self.model.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                    self.cache[piece] = tuple(e.ids)
-            found = [*map(self.cache.__getitem__, pieces)]
-        return found
+        self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        self.pieces = Pieces(self._solve, f"<u{self.width}")
+
+    def _solve(self, pieces: list[bytes]) -> list[bytes]:
+        """The model sees a piece as its byte-level pre-tokeniser would hand it over: one character a byte."""
+        kind, tokenize = self.pieces.kind, self.model.model.tokenize
+        return [np.array([t.id for t in tokenize(p.decode("latin-1").translate(BYTE_CHARACTERS))], kind).tobytes() for p in pieces]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         odd = {i for i, x in enumerate(texts) if x and any(a in x for a in self.added)}
-        ids, ends = encode_block([None if i in odd else x for i, x in enumerate(texts)], many=self.lookup)
+        ids, ends = encode_block([None if i in odd else x for i, x in enumerate(texts)] if odd else texts, self.pieces)
         if not odd:
             return ids, ends
         lists = [ids[a:b] for a, b in itertools.pairwise(ends.tolist())]
         for i in odd:
-            lists[i] = np.array(self.model.encode(texts[i], add_special_tokens=False).ids, np.int32)
+            lists[i] = np.array(self.model.encode(texts[i], add_special_tokens=False).ids, self.pieces.kind)
         return np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
 
 
 @functools.cache
 def library(path: str) -> Library:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Library(path)
 
 
@@ -79,7 +82,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 0, folder: str | None
 
     def run(batches):
         model = library(vocabulary)
-        width = 2 if model.model.get_vocab_size() <= 1 << 16 else 4
+        width = model.width
         names = target(folder, ".ids"), target(folder, ".idx")
         doc_ids, sizes = [], []
         out = None
@@ -88,7 +91,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 0, folder: str | None
                 out = out or create(names[0])
                 ids, ends = model.encode(part.column(1).to_pylist())
                 flat = np.insert(ids, ends[1:], end_id)  # an end id after each text
-                out.write(flat.astype(f"<u{width}").tobytes())
+                out.write(flat.tobytes())
                 sizes.append(np.diff(ends) + 1)
                 doc_ids.append(part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
         if out is None:
