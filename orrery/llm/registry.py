@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from orrery.llm.bpe import op7_bpe
+from orrery.llm.decontaminate import op4_decontaminate
 from orrery.llm.jaccard import op6_jaccard
 from orrery.llm.langid import op2_langid
 from orrery.llm.pii import op1_pii
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_pii": op1_pii,
         "op2_langid": op2_langid,
         "op3_warc": op3_warc,
+        "op4_decontaminate": op4_decontaminate,
         "op5_url_filter": op5_url_filter,
         "op6_jaccard": op6_jaccard,
         "op7_bpe": op7_bpe,
