@@ -156,14 +156,19 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     return tokens.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def op7_bpe(spark, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
-    return out.select(
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """Counts and digests of decode()'s rows."""
+    return decoded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+def op7_bpe(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))

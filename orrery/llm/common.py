@@ -85,7 +85,7 @@ def blocks(batch: pa.RecordBatch, text: int = 1, limit: int = BLOCK_BYTES) -> It
         yield batch.slice(start)
 
 
-def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: int = 1) -> DataFrame:
+def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, text: int = 1) -> DataFrame:
     """mapInArrow over bounded blocks. make() runs once a task and returns the function of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,3 +128,10 @@ def split_by_ids(rows: DataFrame, id_col: str, ids: DataFrame, bits_an_id: int =
     marked = rows.withColumn("__at", place(id_col)).withColumn("__word", F.expr("__at div 64")).join(F.broadcast(held), "__word", "left")
     there = F.expr("coalesce(getbit(__mask, cast(__at % 64 as int)) = 1, false)")
     return marked.where(there).select(*rows.columns), marked.where(~there).select(*rows.columns)
+
+
+def without_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id is not in `ids` (one column, read again from storage); null is an id like others."""
+    maybe, clean = split_by_ids(rows, id_col, ids)
+    gone = ids.select(F.col(ids.columns[0]).cast("long").alias("__gone")).distinct()
+    return clean.unionByName(maybe.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import map_blocks, shared_folder, split_by_ids, table, written
+from orrery.llm.common import map_blocks, shared_folder, split_by_ids, table, without_ids, written
 from orrery.llm.graph import components, forest
 
 CACHE_WORDS = 400_000
@@ -326,5 +326,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     return texts.join(merged, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component stays, that of its smallest id. Rows without an id stay.
+
+    Rows that share an id are one document: it stays if one of its texts leads a component, each text once.
+    """
+    folder = shared_folder(docs.sparkSession)
+    found = written(jaccard_components(docs, size, percent, id_col, text_col), folder).where(F.col("doc_id").isNotNull())
+    by_id = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("leads"), F.count(F.lit(1)).alias("n"))
+    by_id = written(by_id.where("leads = 0 or n > 1"), folder)
+    kept = without_ids(docs, id_col, written(by_id.where("leads = 0").select("doc_id"), folder))
+    again = written(by_id.where("leads = 1").select("doc_id"), folder)
+    if again.isEmpty():
+        return kept
+    maybe, once = split_by_ids(kept, id_col, again)
+    return once.unionByName(maybe.where(F.col(id_col).isNull())).unionByName(maybe.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]))
+
+
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)

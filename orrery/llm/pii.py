@@ -43,7 +43,8 @@ def _located(text: Column, pattern: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    return F.aggregate(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), zero, step, lambda acc: acc["out"])
+    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
+    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
 def _luhn(digits: Column) -> Column:
@@ -78,8 +79,9 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, row: bool = False) -> DataFrame:
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if row else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
 
 
 def _context(text: Column, span: Column) -> Column:
@@ -108,10 +110,10 @@ def disclosing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9,
     return pairs.join(counts, "term").select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def find_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, base and spans (sorted structs start, kind, end) of every row."""
+def find_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+    """doc_id, text, base and spans (sorted structs start, kind, end) of every row; row: its columns as a struct."""
     folder = shared_folder(docs.sparkSession)
-    rows = _rows(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col, row)
     terms = written(disclosing_terms(docs, support, threshold, id_col, text_col, folder).select("term").distinct(), folder)
     words = rows.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
     hits = written(words.join(terms, "term", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms")), folder)
@@ -122,7 +124,7 @@ def find_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col:
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join(F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     added = F.transform(_located(F.col("text"), pattern), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
     found = found.withColumn("base", F.coalesce(F.when(F.col("text").rlike(r"@|[0-9]"), base), F.array().cast(EMPTY)))
-    return found.select("doc_id", "text", "base", F.when(F.col("terms").isNotNull(), F.array_sort(F.concat("base", added))).otherwise(F.col("base")).alias("spans"))
+    return found.select("doc_id", "text", *["row"] * row, "base", F.when(F.col("terms").isNotNull(), F.array_sort(F.concat("base", added))).otherwise(F.col("base")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -144,6 +146,13 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)).otherwise(text)
 
 
+def mask_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows with masked texts and, where there is such a column, their new length."""
+    found = find_pii(docs, support, threshold, id_col, text_col, row=True).withColumn("masked", masked(F.col("text"), F.col("spans")))
+    new = {text_col: F.col("masked"), length_col: F.length("masked")}
+    return found.select(*[(new[c].cast(t) if c in new else F.col(f"row.`{c}`")).alias(c) for c, t in docs.dtypes])
+
+
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")

@@ -182,6 +182,22 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold."""
+    at = docs.columns.index(text_col)
+
+    def make():
+        known = lexicon.of_words()
+
+        def fine(text: str | None) -> bool:
+            own = words(text)
+            return score(len(own), [s for *_, s in segments(own, lexicon, known)], lexicon.rate) < threshold
+
+        return lambda batch: batch.filter(pa.array([fine(x) for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return map_blocks(docs, make, docs.schema, at)
+
+
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = fit(docs, labels.where(~held_out(F.col("doc_id"))))
