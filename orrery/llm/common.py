@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.storage import shared_folder as shared_folder
+from orrery.storage import ship as ship
+from orrery.storage import written as written
+
 #: Words are runs of anything but these six characters (space, \t \n \v \f \r).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 GAP_PATTERN = r"[\x20\x09-\x0D]+"
@@ -27,22 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python once a context, wherever the driver imported it from."""
-    sc = spark.sparkContext
-    if getattr(sc, "_orrery_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file until it ends
-    archive = Path(folder) / "orrery_package.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    sc.addPyFile(str(archive))
-    sc._orrery_shipped = True
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches to Python: texts can be long, so by rows and by bytes."""
     ship(spark)
@@ -50,28 +31,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors can reach.
-
-    Where that is unset (single-process tests), a temporary folder of this machine takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "orrery-shared")
-        spark.conf.set("spark.checkpoint.dir", root)
-    jvm = spark._jvm  # a path without a scheme belongs to the cluster's default file system
-    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/orrery-{uuid.uuid4().hex}")
-    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
-
-
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def blocks(batch: pa.RecordBatch, text: int = 1, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about `limit` bytes; a longer text stands alone."""
     start, held = 0, 0
