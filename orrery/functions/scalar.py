@@ -25,14 +25,14 @@ def ieee_div(a: Column | float, b: Column | float) -> Column:
 def floor_mod(a: Column | float, b: Column | float) -> Column:
     """The remainder with the divisor's sign; NaN for a divisor of 0."""
     a, b = _double(a), _double(b)
-    safe = F.when(b != 0, b)
-    return F.when(a.isNull() | b.isNull(), None).when(b == 0, NAN).otherwise(((a % safe) + safe) % safe)
+    rest = a % F.when(b != 0, b)
+    return F.when(a.isNull() | b.isNull(), None).when(b == 0, NAN).otherwise(F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest))
 
 
 def int_floor_mod(a: Column, b: Column) -> Column:
     """The integer remainder with the divisor's sign; null for a divisor of 0."""
-    safe = F.when(b != 0, b)
-    return ((a % safe) + safe) % safe
+    rest = a % F.when(b != 0, b)
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
 
 
 def _log(f, x: Column, pole: float = 0.0) -> Column:
