@@ -102,7 +102,8 @@ def disclosing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9,
     pairs = written(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support).join(entities, "entity"), folder)
     wanted = pairs.select("term").distinct()
     words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
-    counts = written(words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("c_t")), folder)
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))  # a frequent word is one row a task before it meets others
+    counts = written(counts.join(wanted, "term"), folder)  # inner: a semi-join would be pushed below the counts
     n = rows.agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("n"))
     total = n.first()["n"]
     ratio = lambda a, b: F.log(a * float(total) / b)
