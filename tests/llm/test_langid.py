@@ -1,0 +1,48 @@
+import numpy as np
+import pytest
+from helpers import documents, saved
+
+from orrery.llm import langid
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def net(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.llm.common import held_out
+
+    return langid.fit(spark.read.parquet(f"{SF}/documents.parquet").where(~held_out(F.col("doc_id"))), per_language=200)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = langid.op2_langid(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 200 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_integer_tables_equal_the_network(net):
+    rng = np.random.default_rng(0)
+    data = rng.integers(32, 127, 20 * langid.WINDOW + langid.PAD).astype(np.uint8)
+    x = np.stack([data[i * langid.WINDOW : (i + 1) * langid.WINDOW + langid.PAD] for i in range(20)])
+    assert np.allclose(langid.Predictor(net).windows(data), langid._forward(net, x)[2], atol=0.02)
+
+
+def test_whole_text_counts(net):
+    model = langid.Predictor(net)
+    en, de = "the thing was in the other and of that with these ", "der die das und nicht eine ung keit schen verzug "
+    late = model.texts([en * 5 + de * 400])[0][0]
+    assert late == model.texts([de * 400])[0][0] != model.texts([en * 400])[0][0]
+
+
+def test_edges(spark, net, tmp_path):
+    docs = documents(spark, [(1, None), (2, ""), (3, "123 !!"), (None, "the and of"), (4, "the and of " * 20000), (4, "a")])
+    got = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs, net).collect()]
+    assert [x[1] for x in got[:3]] == ["und"] * 3 and all(x[2] == 0 for x in got[:3]) and len(got) == 6 and all(x[1] in net.languages for x in got[3:])
+    nothing = langid.fit(docs.limit(0))
+    assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+    assert langid.op2_langid(spark, saved(docs.limit(0), tmp_path, "documents")).count() == 0
+    one = langid.fit(documents(spark, {i: f"words here {i}" for i in range(30)}))
+    assert langid.Predictor(one).texts(["abc"])[0] == ("en", 1.0)
