@@ -98,7 +98,7 @@ def score(n: int, scores: list[float], rate: float) -> float:
     return math.exp(-min(700.0, n * math.exp(-rate * sum(high))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float = 1_000.0, flat: float = 0.5, min_z: float = 4.5, min_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float = 100.0, flat: float = 0.5, min_z: float = 4.5, min_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """The lexicon from labelled documents. What comes to the driver is bounded by the sample."""
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     parts = [ids.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
