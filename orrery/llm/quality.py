@@ -137,8 +137,9 @@ def quality_rules(
 ) -> DataFrame:
     """Counts, measures, bands and verdict of every row. `spread` is the fence in interquartile ranges."""
     measured = written(fertility(docs, vocabulary, id_col, text_col, lang_col))
-    by_lang = bands(measured, "lang", spread, min_tokens).where(F.col("n") >= min_group)
-    by_script = bands(measured, "script", spread, min_tokens)
+    # written, so that their true size decides whether they are broadcast or met by a (splittable) shuffle
+    by_lang = written(bands(measured, "lang", spread, min_tokens).where(F.col("n") >= min_group))
+    by_script = written(bands(measured, "script", spread, min_tokens))
     fences = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
     out = measured.join(by_lang.select(F.col("group").alias("lang"), *[F.col(x).alias(f"l_{x}") for x in fences]), "lang", "left")
     out = out.join(by_script.select(F.col("group").alias("script"), *[F.col(x).alias(f"s_{x}") for x in fences]), "script", "left")
