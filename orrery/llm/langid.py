@@ -32,6 +32,10 @@ WINDOWS_A_TEXT = 4
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def prepared(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
@@ -135,7 +139,7 @@ class Predictor:
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        held = [(i, prepared(x)) for i, x in enumerate(texts) if x and _LETTER.search(x)]
+        held = [(i, prepared(x)) for i, x in enumerate(texts) if x and has_letter(x)]
         if not held or not self.net.languages:
             return out
         counts = [-(-(len(x) + PAD) // WINDOW) for _, x in held]
@@ -164,7 +168,7 @@ def fit(docs: DataFrame, per_language: int = 600, max_documents: int = 20_000, i
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, found = [], []
             for doc_id, text, lang in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if not text or lang is None or not _LETTER.search(text):
+                if not text or lang is None or not has_letter(text):
                     continue
                 data = prepared(text)
                 spread = max(1, len(data) - WINDOW + 1)

@@ -38,7 +38,7 @@ def test_whole_text_counts(net):
 
 
 def test_edges(spark, net, tmp_path):
-    docs = documents(spark, [(1, None), (2, ""), (3, "123 !!"), (None, "the and of"), (4, "the and of " * 20000), (4, "a")])
+    docs = documents(spark, [(1, None), (2, ""), (3, "123 !! ²½"), (None, "the and of"), (4, "the and of " * 20000), (4, "a")])
     got = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs, net).collect()]
     assert [x[1] for x in got[:3]] == ["und"] * 3 and all(x[2] == 0 for x in got[:3]) and len(got) == 6 and all(x[1] in net.languages for x in got[3:])
     nothing = langid.fit(docs.limit(0))
