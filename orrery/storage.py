@@ -13,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Where that is unset (single-process tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/orrery-{uuid.uuid4().hex}")
     system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return system.makeQualified(path).toString()  # a path without a scheme belongs to the cluster's default store
+    _MADE.append(system.makeQualified(path).toString())  # a path without a scheme belongs to the cluster's default store
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every folder that this process made under spark.checkpoint.dir. Results that still read from them end."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:

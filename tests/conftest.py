@@ -15,7 +15,10 @@ def spark():
 
     out = session("local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="3g")
     out.sparkContext.setLogLevel("ERROR")
-    return out
+    yield out
+    from orrery.storage import release
+
+    release(out)
 
 
 @pytest.fixture(scope="session")
