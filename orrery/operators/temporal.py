@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +27,12 @@ def with_fields(df: DataFrame, column: str, *names: str) -> DataFrame:
 def days(x: Column) -> Column:
     """Days since 1970-01-01, rounded down."""
     return F.datediff(F.to_date(x), F.lit("1970-01-01").cast("date"))
+
+
+def on_or_after(x: Column, day: datetime.date) -> Column:
+    """Whether a timestamp without zone lies on the day or later. The column stays bare, so the test reaches the scan."""
+    return x >= F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp_ntz")
+
+
+def on_or_before(x: Column, day: datetime.date) -> Column:
+    return ~on_or_after(x, day + datetime.timedelta(days=1))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scalar
-from orrery.operators import agg, frame, joins
+from orrery.operators import agg, frame, joins, temporal
 from orrery.plans.catalog import query
 from orrery.sources.tables import load
 
@@ -37,7 +37,7 @@ def filter_and_or(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > l_tax AND CAST(l_shipdate AS DATE) >= DATE '1995-06-17'")
 def filter_col_col_date(spark, sf_dir):
-    keep = (F.col("l_discount") > F.col("l_tax")) & (F.to_date("l_shipdate") >= F.lit(datetime.date(1995, 6, 17)))
+    keep = (F.col("l_discount") > F.col("l_tax")) & temporal.on_or_after(F.col("l_shipdate"), datetime.date(1995, 6, 17))
     return frame.where(load(spark, sf_dir, "lineitem"), keep).select(*KEYS)
 
 

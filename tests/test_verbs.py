@@ -142,6 +142,10 @@ def test_plans(spark, sf):
     assert "TakeOrderedAndProject" in frame.top_k(rows, 5, "l_quantity")._jdf.queryExecution().toString()
     plan = rows.where("l_quantity < 5").select("l_orderkey")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), LessThan(l_quantity,5.0)]" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+    from orrery.plans.workloads import tpch_q1, tpch_q6
+
+    assert "LessThan(l_shipdate,1998-09-03T00:00)" in tpch_q1(spark, sf)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(l_shipda" in tpch_q6(spark, sf)._jdf.queryExecution().toString()
     with pytest.raises(ValueError):
         frame.top_k(rows, 0, "l_quantity")
     with pytest.raises(ValueError):
