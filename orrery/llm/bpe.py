@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import map_blocks, table
 from orrery.llm.pretokens import slices
 
-CACHE_PIECES = 450_000
+CACHE_PIECES = 200_000
 
 
 @functools.cache
@@ -78,20 +78,20 @@ def _merge_long(parts: list[bytes], rank: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Pieces:
-    """Ids of pieces as packed integers, computed once and kept in two generations of CACHE_PIECES each.
+    """Ids of pieces as packed integers, computed once and kept in two generations of `most` each.
 
     When the young one is full it becomes the old one; what is still in use moves back by itself.
     """
 
-    def __init__(self, solve: Callable[[list[bytes]], list[bytes]], kind: str):
-        self.solve, self.kind = solve, np.dtype(kind)
+    def __init__(self, solve: Callable[[list[bytes]], list[bytes]], kind: str, most: int = CACHE_PIECES):
+        self.solve, self.kind, self.most = solve, np.dtype(kind), most
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def __call__(self, pieces: list[bytes]) -> list[bytes]:
         found = [*map(self.young.get, pieces)]
         if None in found:
-            if len(self.young) >= CACHE_PIECES:
+            if len(self.young) >= self.most:
                 self.old, self.young = self.young, {}
             missing, holes = [], [k for k, ids in enumerate(found) if ids is None]
             for p in {pieces[k] for k in holes}:
@@ -124,6 +124,14 @@ def encode_block(texts: list[str | None], pieces_of: Pieces) -> tuple[np.ndarray
     return np.frombuffer(b"".join(found), pieces_of.kind), ends[first]
 
 
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids array<int> of every whole text."""
 
@@ -131,33 +139,55 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         pieces = merged(vocabulary)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, offsets = encode_block(batch.column(1).to_pylist(), pieces)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column(0), _lists(*encode_block(batch.column(1).to_pylist(), pieces))], names=["doc_id", "ids"])
 
         return work
 
-    return map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), make, "doc_id long, ids array<int>")
+    return map_blocks(_rows(docs, id_col, text_col), make, "doc_id long, ids array<int>")
+
+
+@functools.cache
+def _bytes_of(path: str) -> dict[int, bytes]:
+    return {v: k for k, v in ranks(path).items()}
+
+
+def decode_block(ids: np.ndarray, ends: np.ndarray, of: dict[int, bytes]) -> list[bytes]:
+    """The bytes of each text of a block, from flat ids and the retained offsets."""
+    parts = [*map(of.__getitem__, ids.tolist())]
+    return [b"".join(parts[a:b]) for a, b in itertools.pairwise(ends.tolist())]
 
 
 def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids and the decoded bytes of every row of encode()."""
 
     def run(batches):
-        of = {v: k for k, v in ranks(vocabulary).items()}
+        of = _bytes_of(vocabulary)
         for batch in batches:
             ids = batch.column(1)
-            flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            parts = [of[i] for i in flat.tolist()]
-            texts = [b"".join(parts[a:b]) for a, b in itertools.pairwise(offsets.tolist())]
+            ends = ids.offsets.to_numpy()
+            texts = decode_block(ids.flatten().to_numpy(zero_copy_only=False), ends - ends[0], of)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return tokens.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode() and decode() in one Python process a task: doc_id, ids, decoded."""
+
+    def make():
+        pieces, of = merged(vocabulary), _bytes_of(vocabulary)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, ends = encode_block(batch.column(1).to_pylist(), pieces)
+            return pa.RecordBatch.from_arrays([batch.column(0), _lists(ids, ends), pa.array(decode_block(ids, ends, of), pa.binary())], names=["doc_id", "ids", "decoded"])
+
+        return work
+
+    return map_blocks(_rows(docs, id_col, text_col), make, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
-    """Counts and digests of decode()'s rows."""
+    """Counts and digests of the rows of decode() or round_trip()."""
     return decoded.select(
         "doc_id",
         *more,
@@ -170,5 +200,4 @@ def digests(decoded: DataFrame, *more: str) -> DataFrame:
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
+    return digests(round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))

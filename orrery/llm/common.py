@@ -17,7 +17,7 @@ from orrery.storage import written as written
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 GAP_PATTERN = r"[\x20\x09-\x0D]+"
 #: Text bytes that one call of a Python operator works on at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,8 @@ def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
         for batch in batches:
             for part in blocks(batch, text):
                 yield work(part)
+        del work
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds little
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

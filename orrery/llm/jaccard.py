@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import map_blocks, shared_folder, split_by_ids, table, without_ids, written
 from orrery.llm.graph import components, forest
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Candidate sets meet in tasks of at most about so many shingles, or so many sets.
 GROUP_SHINGLES, GROUP_SETS = 1_000_000, 1_000
 #: A partition of signatures holds about so many bytes.

@@ -5,8 +5,8 @@ window goes through a softmax. Training is plain numpy: a filter is a table of r
 so that a convolution is a sum of table rows and its gradient touches just the bytes at the maximum. For
 prediction, tables of 16-bit integers cover one or two bytes a step, and every window of a text is read.
 
-Fitting reads at most `per_language` documents of each language and `max_documents` in all (those of the
-smallest hash of their id), and WINDOWS_A_TEXT windows of each. Rows without a language are left out.
+Fitting reads about `per_language` documents of each language, drawn by a hash of their id, at most
+`max_documents` in all, and WINDOWS_A_TEXT windows of each. Rows without a language are left out.
 Defined cases: `und` with score 0 for a null text, one without a letter, or where there is nothing to learn
 from; repeated rows are predicted each; texts shorter than a window are padded with zero bytes.
 """
@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import held_out, map_blocks, table
+from orrery.llm.common import held_out, map_blocks, table, written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -160,8 +160,9 @@ def fit(docs: DataFrame, per_language: int = 600, max_documents: int = 20_000, i
     """The network from labelled documents; at most max_documents * WINDOWS_A_TEXT windows reach the driver."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")  # a limit by group is taken before the shuffle, so a hot language sends few rows
-    ids = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).orderBy("n", "h", "doc_id").limit(max_documents)
+    counts = written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))  # one row a language
+    share = F.pmod("h", F.lit(1 << 20)) * F.col("n") < float(per_language << 20)  # about per_language of each, by hash
+    ids = labelled.join(counts, "lang").where(share).orderBy("h", "doc_id").limit(max_documents)
     sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # at most max_documents ids
 
     def make():

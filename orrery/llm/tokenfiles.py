@@ -52,7 +52,7 @@ class Library:
             raise ValueError(f"{path}: not a byte-level vocabulary")
         self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.pieces = Pieces(self._solve, f"<u{self.width}")
+        self.pieces = Pieces(self._solve, f"<u{self.width}", 450_000)
 
     def _solve(self, pieces: list[bytes]) -> list[bytes]:
         """The model sees a piece as its byte-level pre-tokeniser would hand it over: one character a byte."""

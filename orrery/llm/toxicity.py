@@ -28,7 +28,7 @@ from orrery.llm.common import held_out, map_blocks, table
 
 THRESHOLD = 0.7
 STEMS = (7, 6, 5, 4)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -55,7 +55,9 @@ def test_round_trip_of_rows(spark, reference):
     got = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert sorted((r.doc_id or 0, list(r.ids)) for r in got) == sorted((i or 0, reference.encode_ordinary(t or "")) for i, t in texts)
     assert all(bytes(r.decoded).decode() == (dict(texts)[r.doc_id] or "") for r in got)
-    assert bpe.encode(docs.limit(0), PATH).count() == 0
+    again = bpe.round_trip(docs, PATH).collect()
+    assert sorted((r.doc_id or 0, list(r.ids), bytes(r.decoded)) for r in again) == sorted((r.doc_id or 0, list(r.ids), bytes(r.decoded)) for r in got)
+    assert bpe.encode(docs.limit(0), PATH).count() == 0 and bpe.round_trip(docs.limit(0), PATH).count() == 0
 
 
 def test_token_files(spark):
