@@ -11,8 +11,8 @@ blocks within a band are the candidates.
 
 Exact copies are one class from the start. Candidates join in coarse components by stars, not pairs; the
 sets of a coarse component meet in tasks of bounded size (large ones in pairs of blocks), where the
-sketches' Hamming distance, then the sets themselves decide. Links that are already implied within a task
-are skipped, so the output there is a forest.
+sketches' Hamming distance, then the sets themselves decide. What leaves such a task is a forest of its links
+and each set's number of links, not the links; without numbers, links that are implied already are skipped.
 
 Defined cases: a null, empty or wordless text has 0 shingles and links with nothing; with fewer words than a
 shingle the whole sequence is one; repeated rows are copies; rows without a doc_id get their copies'
@@ -229,8 +229,11 @@ def sketches(sets: list[np.ndarray], width: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def resolve(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest of the links between positions `left` and `right` (equal arrays: within them)."""
+def resolve(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A forest of the links between positions `left` and `right` (equal arrays: within them).
+
+    With `copies` of each set also how many texts each is linked with; then no link is skipped as implied.
+    """
     root = list(range(len(ids)))
 
     def find(i: int) -> int:
@@ -245,6 +248,7 @@ def resolve(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np
         width *= 2
     flat = sketches(sets, width) if len(ids) > 2 else None
     out = []
+    links = np.zeros(len(ids), np.int64)
     inner = left is right
     group = np.arange(len(ids))
     for k, i in enumerate(left.tolist()):
@@ -255,21 +259,27 @@ def resolve(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np
             others, n = others[ok], n[ok]
             ok = np.bitwise_count(flat[others] ^ flat[i]).sum(1, dtype=np.int64) <= (100 - percent) * n // (100 + percent)
         others = others[ok]
-        others = others[group[others] != group[i]]
+        if copies is None:
+            others = others[group[others] != group[i]]
         for j in others.tolist():
             x, y = find(i), find(j)
-            if x != y and linked(sets[i], sets[j], percent):
-                root[max(x, y)] = min(x, y)
-                group[group == group[j]] = group[i]
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+            if (x != y or copies is not None) and linked(sets[i], sets[j], percent):
+                if copies is not None:
+                    links[i] += copies[j]
+                    links[j] += copies[i]
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    group[group == group[j]] = group[i]
+                    out.append((int(ids[i]), int(ids[j])))
+    return out, links
 
 
-def verify(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """members: comp, i, j, side, doc_id, text. Links between classes, by their smallest doc_id: a, b."""
+def verify(members: DataFrame, size: int, percent: int, count: bool) -> DataFrame:
+    """members: comp, i, j, side, doc_id, copies, text. Links between classes, by their smallest doc_id: a, b;
+    with count also rows of a and n, the number of texts that a is linked with in one task."""
 
     def run(batches):
-        item, ids, sets, sides, out = None, [], [], [], []
+        item, ids, sets, sides, copies, out = None, [], [], [], [], []
 
         def close():
             if len(ids) > 1:
@@ -277,11 +287,18 @@ def verify(members: DataFrame, size: int, percent: int) -> DataFrame:
                 left = np.flatnonzero(side == 0)
                 right = left if item[1] == item[2] else np.flatnonzero(side == 1)
                 if len(left) and len(right):
-                    out.extend(resolve(np.array(ids, np.int64), sets, left, right, percent))
-            ids.clear(), sets.clear(), sides.clear()
+                    own = np.array(ids, np.int64)
+                    edges, links = resolve(own, sets, left, right, percent, np.array(copies, np.int64) if count else None)
+                    out.extend((a, b, None) for a, b in edges)
+                    out.extend((int(own[k]), None, int(links[k])) for k in np.flatnonzero(links))
+            for x in (ids, sets, sides, copies):
+                x.clear()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "n"])
 
         for batch in batches:
-            for comp, i, j, side, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for comp, i, j, side, doc_id, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (comp, i, j) != item:
                     close()
                     item = comp, i, j
@@ -289,19 +306,21 @@ def verify(members: DataFrame, size: int, percent: int) -> DataFrame:
                     continue  # a repeated row
                 ids.append(doc_id)
                 sides.append(side)
+                copies.append(n)
                 sets.append(shingles(text, size))
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+                yield rows()
                 out.clear()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+        yield rows()
 
-    dealt = members.select("comp", "i", "j", "side", "doc_id", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "doc_id")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = members.select("comp", "i", "j", "side", "doc_id", "copies", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long, n long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row; with count also
+    n_links, the number of other rows with an id that it is linked with, null for a row without an id."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     rows = written(describe(docs, size, id_col, text_col), folder)
     texts = rows.where(F.col("n").isNotNull())
@@ -314,16 +333,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     coarse = components(candidates(docs, np.sort(common), size, percent, parts, id_col, text_col))
     coarse = written(coarse, folder)
     coarse = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
-    members = written(classes.join(coarse, "node").select(F.col("root").alias("comp"), "rep", "n"), folder)
+    members = written(classes.join(coarse, "node").select(F.col("root").alias("comp"), "rep", "n", "copies"), folder)
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / GROUP_SHINGLES), F.ceil(F.count(F.lit(1)) / GROUP_SETS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     placed = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), (F.col("block") > o).cast("int").alias("side")))
     source = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     source, _ = split_by_ids(source, "rep", members.select("rep"))
-    members = placed.select("comp", "rep", "block", "blocks").join(source, "rep").select("comp", F.col("rep").alias("doc_id"), "text", F.explode(every).alias("x")).select("comp", "x.*", "doc_id", "text")
-    roots = components(verify(members, size, percent))
-    merged = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("component_id"))
-    return texts.join(merged, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    members = placed.select("comp", "rep", "copies", "block", "blocks").join(source, "rep")
+    members = members.select("comp", F.col("rep").alias("doc_id"), "copies", "text", F.explode(every).alias("x")).select("comp", "x.*", "doc_id", "copies", "text")
+    found = written(verify(members, size, percent, count), folder)
+    roots = components(found.where("b is not null").select("a", "b"))
+    merged = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", "rep", "copies", F.coalesce("root", "rep").alias("component_id"))
+    if not count:
+        return texts.join(merged, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    links = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    merged = merged.join(links, "rep", "left").select("key", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)))
+    return texts.join(merged, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), n_links.alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,4 +370,4 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90, count=True)

@@ -34,7 +34,7 @@ def shingle_set(text, size):
 
 
 def slow_components(pairs, size, percent):
-    """{id: (set size, smallest linked id)}"""
+    """{id: (set size, smallest reachable id, links)}"""
     sets = {i: shingle_set(t, size) for i, t in pairs}
     root = {i: i for i in sets}
 
@@ -43,11 +43,14 @@ def slow_components(pairs, size, percent):
             x = root[x]
         return x
 
+    links = dict.fromkeys(sets, 0)
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             s, t = sets[a], sets[b]
             if s and t and 100 * len(s & t) >= percent * len(s | t):
+                links[a] += 1
+                links[b] += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}

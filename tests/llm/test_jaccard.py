@@ -29,14 +29,17 @@ def near_copies(seed, groups=12, words=80):
 def test_equals_brute_force(spark, size, percent):
     pairs = near_copies(size * percent)
     docs = documents(spark, pairs).repartition(5).withColumnRenamed("source", "key")
+    want = slow_components(pairs, size, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(docs, size, percent, count=True).collect()}
+    assert got == want
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, size, percent).collect()}
-    assert got == slow_components(pairs, size, percent)
+    assert got == {i: x[:2] for i, x in want.items()}
 
 
 def test_large_groups_in_blocks(spark, monkeypatch):
     pairs = near_copies(8, groups=6)
     monkeypatch.setattr(jaccard, "GROUP_SETS", 3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, pairs).repartition(4), 3, 80).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(documents(spark, pairs).repartition(4), 3, 80, count=True).collect()}
     assert got == slow_components(pairs, 3, 80)
 
 

@@ -20,7 +20,7 @@ def test_stages_follow_their_operators(spark):
             assert docs.columns == before.columns
     before, after = kept["near_copies"]
     rows = [(r.doc_id, r.text) for r in before.collect()]
-    assert {r.doc_id for r in after.collect()} == {i for i, (_, c) in slow_components(rows, 5, 80).items() if i == c}
+    assert {r.doc_id for r in after.collect()} == {i for i, (_, c, _) in slow_components(rows, 5, 80).items() if i == c}
     before, after = kept["decontamination"]
     gone = {r.doc_id for r in decontaminate.find_leaks(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()} - gone
