@@ -2,12 +2,12 @@
 
 Every text gets base counts (words, symbols, repeated lines and word windows) and, from a public
 vocabulary with byte fallback, characters per token, the share of byte-fallback tokens and the
-entropy of its tokens. Bands are Tukey fences of those measures per language over all documents
-(script, where the language is unknown); a text outside a band is rejected.
+entropy of its tokens. Bands are Tukey fences of those measures per language and length (in octaves of
+tokens) over all documents; a text outside a band is rejected.
 
 Defined cases: a null or empty text has zero counts and fails the base rules; texts with fewer than
-`min_tokens` tokens are judged by the base rules only; languages with fewer than `min_group` documents
-use the bands of their script; repeated rows are judged alike, row by row.
+`min_tokens` tokens are judged by the base rules only; with fewer than `min_group` documents of a language
+and length the bands of the language count, then those of the script; repeated rows are judged alike, row by row.
 """
 
 from __future__ import annotations
@@ -137,20 +137,24 @@ def quality_rules(
 ) -> DataFrame:
     """Counts, measures, bands and verdict of every row. `spread` is the fence in interquartile ranges."""
     measured = written(fertility(docs, vocabulary, id_col, text_col, lang_col))
+    octave = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")))  # entropy grows with a text's length
+    measured = measured.withColumn("sized", F.when(F.col("lang").isNotNull(), F.concat_ws(":", octave, "lang")))
     # written, so that their true size decides whether they are broadcast or met by a (splittable) shuffle
+    by_size = written(bands(measured, "sized", spread, min_tokens).where(F.col("n") >= min_group))
     by_lang = written(bands(measured, "lang", spread, min_tokens).where(F.col("n") >= min_group))
     by_script = written(bands(measured, "script", spread, min_tokens))
     fences = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
-    out = measured.join(by_lang.select(F.col("group").alias("lang"), *[F.col(x).alias(f"l_{x}") for x in fences]), "lang", "left")
-    out = out.join(by_script.select(F.col("group").alias("script"), *[F.col(x).alias(f"s_{x}") for x in fences]), "script", "left")
+    out = measured
+    for key, own, prefix in (("sized", by_size, "z"), ("lang", by_lang, "l"), ("script", by_script, "s")):
+        out = out.join(own.select(F.col("group").alias(key), *[F.col(x).alias(f"{prefix}_{x}") for x in fences]), key, "left")
     ok = F.lit(True)
     for m in MEASURES:
-        low, high = (F.coalesce(F.col(f"l_{m}_{side}"), F.col(f"s_{m}_{side}")) for side in ("low", "high"))
+        low, high = (F.coalesce(*[F.col(f"{p}_{m}_{side}") for p in "zls"]) for side in ("low", "high"))
         fine = F.col(m).between(low, high) if m != "byte_share" else F.col(m) <= F.greatest(high, F.lit(0.05))
         ok = ok & F.coalesce(fine, F.lit(True))
     ok = ok | (F.col("n_tokens") < min_tokens)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("fertility_ok", ok).withColumn("kept", ~failed & ok).drop(*[f"{p}_{x}" for p in "ls" for x in fences])
+    return out.withColumn("base_failed", failed).withColumn("fertility_ok", ok).withColumn("kept", ~failed & ok).drop("sized", *[f"{p}_{x}" for p in "zls" for x in fences])
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
