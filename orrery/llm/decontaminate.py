@@ -4,9 +4,10 @@ Texts are cut at everything but letters and digits. Numbers, capitalised names w
 after a number become typed placeholders, so that a question with other numbers or names keeps its
 template. Windows of WINDOW placeholders and words are hashed: all of them for a benchmark item, every
 STRIDE-th for a document. Any run of RUN = WINDOW + STRIDE - 1 equal tokens holds a whole strided window, so
-the hash join finds every such run. A hit fixes how document and item line up; then the longest run of
-equal tokens and the slots are checked: a slot's value in the item must always stand for one value in the document,
-and a run of all placeholders tells nothing. Items shorter than RUN tokens must occur whole; they have
+the hash join finds every such run. A hit fixes how document and item line up; then every run of equal
+tokens is judged: a slot's value in the item must always stand for one value in the document, and the run needs
+TELLING words besides placeholders. A verbatim run counts by itself, in whatever run it lies, if it has a word:
+a run of all placeholders tells nothing. Items shorter than RUN tokens must occur whole; they have
 windows of SHORT tokens at every place.
 
 All of it is DataFrame functions. Defined cases: null and empty texts match nothing; items of fewer than SHORT
@@ -16,6 +17,8 @@ repeated rows of a document give one match; rows with a null doc_id are matched
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +79,23 @@ def _candidates(rows: DataFrame, items: DataFrame, size: int, stride: int, small
     return seen.join(own, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
 
 
+def _runs(facing: Column, here: Callable[[Column], Column], least: Column) -> Column:
+    """All the longest slices of `least` places or more with here() at each place."""
+    ends = F.concat(F.transform(F.filter(facing, lambda t: ~here(t)), lambda t: t["i"]), F.array(F.size(facing)))
+
+    def step(acc: Column, end: Column) -> Column:
+        out = F.when(end - acc["start"] >= least, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), end.alias("end"))))).otherwise(acc["out"])
+        return F.struct((end + 1).alias("start"), out.alias("out"))
+
+    zero = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return F.transform(F.aggregate(ends, zero, step, lambda acc: acc["out"]), lambda r: F.slice(facing, r["start"] + 1, r["end"] - r["start"]))
+
+
+def _consistent(run: Column) -> Column:
+    slots = F.array_distinct(F.transform(F.filter(run, lambda t: _is_slot(t["b"])), lambda t: F.struct(F.concat_ws(":", t["b"], t["y"]).alias("item"), t["x"].alias("doc"))))
+    return F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: s["item"])))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, run (equal tokens in a row), item_tokens, slots_changed of every match."""
     folder = shared_folder(docs.sparkSession)
@@ -97,18 +117,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_items: int = 20_
     cut = lambda c, start: F.slice(c, start + 1, last - first)
     there, here = first, first - F.col("shift")
     facing = F.zip_with(F.zip_with(cut("own", there), cut("template", here), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.zip_with(cut("own_plain", there), cut("plain", here), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p, q: F.struct(p["a"].alias("a"), p["b"].alias("b"), q["x"].alias("x"), q["y"].alias("y")))
-    pairs = pairs.select("doc_id", "item_id", F.size("template").alias("item_tokens"), facing.alias("facing"))
-    equal = F.transform("facing", lambda t: F.when((t["a"] == t["b"]) | (t["x"] == t["y"]), "1").otherwise("0"))
-    runs = F.split(F.array_join(equal, ""), "0")
-    longest = F.array_max(F.transform(runs, F.length))
-    pairs = pairs.withColumn("bits", F.array_join(equal, "")).withColumn("run", longest)
-    start = F.instr("bits", F.expr("repeat('1', run)"))
-    pairs = pairs.where(F.col("run") >= F.least(F.lit(RUN), F.col("item_tokens"))).withColumn("facing", F.slice("facing", start, F.col("run")))
-    words = F.size(F.filter("facing", lambda t: ~_is_slot(t["b"])))
-    slots = F.array_distinct(F.transform(F.filter("facing", lambda t: _is_slot(t["b"])), lambda t: F.struct(F.concat_ws(":", t["b"], t["y"]).alias("item"), t["x"].alias("doc"))))
-    consistent = F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: s["item"])))
-    changed = F.size(F.filter("facing", lambda t: _is_slot(t["b"]) & (t["x"] != t["y"]))).alias("slots_changed")
-    matches = pairs.where((words >= TELLING) & consistent).select("doc_id", "item_id", "run", "item_tokens", changed)
+    pairs = pairs.select("doc_id", "item_id", F.size("template").alias("item_tokens"), F.transform(facing, lambda t, i: t.withField("i", i)).alias("facing"))
+    long_enough = F.least(F.lit(RUN), F.col("item_tokens"))
+    words = lambda r: F.size(F.filter(r, lambda t: ~_is_slot(t["b"])))
+    alike = F.filter(_runs(F.col("facing"), lambda t: (t["a"] == t["b"]) | (t["x"] == t["y"]), long_enough), lambda r: (words(r) >= TELLING) & _consistent(r))
+    exact = F.filter(_runs(F.col("facing"), lambda t: t["x"] == t["y"], long_enough), lambda r: words(r) > 0)
+    changed = lambda r: F.size(F.filter(r, lambda t: _is_slot(t["b"]) & (t["x"] != t["y"])))
+    judged = F.transform(F.concat(alike, exact), lambda r: F.struct(F.size(r).alias("run"), (-changed(r)).alias("kept")))
+    matches = pairs.select("doc_id", "item_id", "item_tokens", F.array_max(judged).alias("own")).where(F.col("own").isNotNull())
+    matches = matches.select("doc_id", "item_id", F.col("own.run").alias("run"), "item_tokens", (-F.col("own.kept")).alias("slots_changed"))
     best = F.max_by(F.struct("run", "item_tokens", "slots_changed"), F.struct("run", -F.col("slots_changed")))
     return matches.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 

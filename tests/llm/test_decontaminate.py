@@ -27,6 +27,17 @@ def test_templates_and_slots(spark):
     assert leaks(spark, texts[:0] or [(1, "x")]) == [] and leaks(spark, texts, ITEMS[3:4]) == []
 
 
+def test_every_run_of_an_alignment(spark):
+    clash = "A train leaves Boston at 60 km per hour and after 3 hours it meets another train; how far did Boston train go in 4 hours?"
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    late = " ".join(["w", *words[1:13], "zz", *words[14:28], "zz", *words[29:]])  # runs of 12, 14 and 31
+    numbers = " ".join(map(str, range(1, 21)))
+    ending = "the lazy dog sleeps under a tall tree while seven ducks swim past"
+    items = [ITEMS[0], (7, " ".join(words)), (8, f"{numbers} xx {ending} quietly")]
+    texts = [(1, clash), (3, late), (4, f"{numbers} yy {ending} quietly"), (5, " ".join(words[:12]))]  # 4: the longest run is all placeholders
+    assert leaks(spark, texts, items) == [(1, 1, 24, 0), (3, 7, 31, 0), (4, 8, 14, 0)]
+
+
 def test_equals_thirteen_token_overlap(spark):
     sf = "/root/testdata/sf0.01"
     tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
