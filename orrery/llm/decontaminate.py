@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows.
 
-Texts are cut at everything but letters and digits. Numbers, capitalised names within a sentence and units
+Texts are cut at everything but letters and digits; a decimal or grouped number (3.5, 1,250) is one token. Numbers, capitalised names within a sentence and units
 after a number become typed placeholders, so that a question with other numbers or names keeps its
 template. Windows of WINDOW placeholders and words are hashed: all of them for a benchmark item, every
 STRIDE-th for a document. Any run of RUN = WINDOW + STRIDE - 1 equal tokens holds a whole strided window, so
-the hash join finds every such run. A hit fixes how document and item line up; then every run of equal
+the hash join finds every such run. Windows of the tokens as they are, with the same stride, find verbatim
+runs whatever their placeholders. A hit fixes how document and item line up; then every run of equal
 tokens is judged: a slot's value in the item must always stand for one value in the document, and the run needs
 TELLING words besides placeholders. A verbatim run counts by itself, in whatever run it lies, if it has a word:
 a run of all placeholders tells nothing. Items shorter than RUN tokens must occur whole; they have
@@ -32,16 +33,20 @@ UNITS = (
     "km", "cm", "mm", "m", "kg", "mg", "g", "lb", "lbs", "oz", "l", "ml", "s", "ms", "min", "h", "hr", "hrs", "hours?", "minutes?", "seconds?", "days?", "weeks?", "months?",
     "years?", "miles?", "meters?", "metres?", "feet", "foot", "inch", "inches", "grams?", "liters?", "litres?", "dollars?", "euros?", "cents?", "percent", "mph", "kmh", "kw", "w", "v",
 )
+#: Stands for the points within numbers (private use).
+POINT = "\ue000"
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "0", "n0", "u0"
 
 
 def _parted(text: Column) -> Column:
-    """Digits end where letters follow, so that a number and its unit are two tokens."""
-    return F.regexp_replace(text, r"(\p{N})(?=\p{L})", "$1 ")
+    """Digits end where letters follow, so that a number and its unit are two tokens; 1,250 and 3.5 are one each."""
+    out = F.regexp_replace(text, r",(?<=(?<!\p{N})\p{N}{1,3},)(?=\p{N}{3}(?!\p{N}))", "")
+    out = F.regexp_replace(out, r"\.(?<=\p{N}\.)(?=\p{N})", POINT)
+    return F.regexp_replace(out, r"(\p{N})(?=\p{L})", "$1 ")
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{POINT}]+"), lambda x: x != "")
 
 
 def plain(text: Column) -> Column:
@@ -52,7 +57,7 @@ def plain(text: Column) -> Column:
 def template(text: Column) -> Column:
     """The tokens with placeholders, one for one with plain()."""
     out = F.regexp_replace(_parted(text), r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+", "N0")
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])\p{N}+", "0")
+    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}{POINT}])\p{{N}}+(?:{POINT}\p{{N}}+)*", "0")
     out = F.regexp_replace(out, rf"(?i)(?<=[^\p{{L}}]0[ -])(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "U0")
     return _tokens(out)
 
@@ -68,14 +73,33 @@ def _is_slot(x: Column) -> Column:
     return x.isin(NUMBER_SLOT, NAME_SLOT, UNIT_SLOT)
 
 
+def _words(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda x: ~_is_slot(x)))
+
+
 def _candidates(rows: DataFrame, items: DataFrame, size: int, stride: int, small: bool) -> DataFrame:
-    """doc_id, item_id, shift: how far an item's tokens lie behind a document's."""
-    own = items.select("item_id", "template", F.explode(_windows(F.col("template"), size, 1)).alias("w"))
-    telling = F.size(F.filter(F.slice("template", F.col("w.at") + 1, size), lambda x: ~_is_slot(x)))
-    own = own.where(telling >= min(TELLING, size - 1)).select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"))
+    """doc_id, item_id, shift: how far an item's tokens lie behind a document's.
+
+    Of an item's template windows those stay that have a word and lie in a run that tells enough (short items: in an item
+    that does, and with TELLING words if a window has so many); of its plain ones those in a run with a word."""
+    around = lambda at: F.slice("template", F.greatest(at - (stride - 1), F.lit(0)) + 1, F.least(at, F.lit(stride - 1)) + size + stride - 1)
+    inside = lambda at: _words(F.slice("template", at + 1, size))
+    windows = _windows(F.col("template"), size, 1)
+    if stride == 1:  # the whole item must occur
+        most = F.least(F.array_max(F.transform(windows, lambda w: inside(w["at"]))), F.lit(min(TELLING, size - 1)))
+        items = items.withColumn("words", _words(F.col("template"))).withColumn("most", F.greatest(most, F.lit(1)))
+        by_template = F.filter(windows, lambda w: (F.col("words") >= TELLING) & (inside(w["at"]) >= F.col("most")))
+        by_plain = F.filter(_windows(F.col("plain"), size, 1), lambda w: (F.col("words") > 0) & (w["at"] == 0))
+    else:
+        by_template = F.filter(windows, lambda w: (inside(w["at"]) > 0) & (_words(around(w["at"])) >= TELLING))
+        by_plain = F.filter(_windows(F.col("plain"), size, 1), lambda w: _words(around(w["at"])) > 0)
+    own = items.select("item_id", F.explode(F.concat(by_template, by_plain)).alias("w"))
+    own = own.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash")).distinct()  # without slots a window is the same twice
     own = F.broadcast(own) if small else own
-    seen = rows.select("doc_id", template(F.col("text")).alias("tokens"))  # a column of its own: worked out once a text
-    seen = seen.select("doc_id", F.explode(_windows(F.col("tokens"), size, stride)).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
+    seen = rows.select("doc_id", template(F.col("text")).alias("tokens"), plain(F.col("text")).alias("plain"))  # columns of their own: worked out once a text
+    seen = seen.select("doc_id", _windows(F.col("tokens"), size, stride).alias("w"), _windows(F.col("plain"), size, stride).alias("exact"))
+    other = F.filter(F.zip_with("w", "exact", lambda w, e: F.when(w["hash"] != e["hash"], e)), lambda e: e.isNotNull())
+    seen = seen.select("doc_id", F.explode(F.concat("w", other)).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
     return seen.join(own, "hash").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
 
 

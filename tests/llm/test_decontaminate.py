@@ -38,6 +38,20 @@ def test_every_run_of_an_alignment(spark):
     assert leaks(spark, texts, items) == [(1, 1, 24, 0), (3, 7, 31, 0), (4, 8, 14, 0)]
 
 
+def test_numbers_and_few_words(spark):
+    heavy = "sum 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 end"
+    items = [(1, "What is 17 + 25?"), (2, "Add 12 to 30 and 5"), (3, heavy), (4, "A farmer sells 120 eggs a day and keeps 8 for tea; how much is left"), (5, "we met Boston crews in the harbour near old mills at dawn again")]
+    texts = [
+        (1, "He asks: what is 17 + 25? Well"), (2, "please add 12 to 30 and 5 now"), (3, "please add 13 to 31 and 6 now"), (4, "what is 18 + 25?"),
+        (5, "x x x sum 1 2 3 4 5 6 7 8 9 10 11 12 z"), (6, "x x x x sum 1 2 3 4 5 6 7 8 9 10 11 12 13 14 z"), (7, "so 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"),
+        (8, "A farmer sells 87.5 eggs a day and keeps 1,250 for tea; how much is left"), (9, "we met boston crews in the harbour near old mills at dawn again"),
+    ]
+    assert leaks(spark, texts, items) == [(1, 1, 4, 0), (2, 2, 6, 0), (3, 2, 6, 3), (5, 3, 13, 0), (6, 3, 15, 0), (8, 4, 16, 2), (9, 5, 13, 0)]
+    rows = documents(spark, [(1, "1,250.75 and 3.5km, v1.5 Bob.5 in Bob.5 1.2.3. 1999,2000 a 5 km.3 x.5 1,25 \u00b2.5")])
+    both = rows.select(decontaminate.plain(rows.text).alias("p"), decontaminate.template(rows.text).alias("t")).first()
+    assert len(both.p) == len(both.t) and [t for t in both.t[:4]] == ["0", "and", "0", "u0"]
+
+
 def test_equals_thirteen_token_overlap(spark):
     sf = "/root/testdata/sf0.01"
     tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
