@@ -1,10 +1,10 @@
 """URL filters: host and path rules first, then association rules mined from labelled pages.
 
 Tokens of a URL are its alphanumeric runs, lower-cased. FP-growth over the labelled pages finds token
-combinations that come with the label `bad`; rules below the confidence or support go, as do rules that a
+combinations that come with the label `bad`; rules below the confidence, support or lift go, as do rules that a
 shorter one covers. Rules lie in an inverted index under their rarest token: a URL meets just the rules
-of tokens that it has, and then the rest of a rule is checked. Only tokens over-represented on bad pages enter
-the transactions, which bounds their combinations.
+of tokens that it has, and then the rest of a rule is checked. Every token with the support enters
+the transactions, whatever it tells alone: it may tell together with others.
 
 All of it is DataFrame functions and spark.ml. Defined cases: a URL that is null or has no `://` has an empty
 host and path, fits no rule and has no tokens of a rule, so it is allowed; repeated rows are judged each; with no
@@ -59,7 +59,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
         return empty
     least = max(min_count, min_support * n)
     seen = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    telling = written(seen.where((F.col("bad") >= least) & (F.col("bad") * n >= min_lift * bad * F.col("n"))).select("token", "n"), folder)  # at most tokens of a URL / min_support
+    telling = written(seen.where(F.col("bad") >= least).select("token", "n"), folder)  # at most tokens of a URL / min_support
     marked = rows.withColumn("id", F.monotonically_increasing_id())
     marked = marked.select("id", "bad", F.explode("tokens").alias("token")).join(telling.select("token"), "token", "left_semi")
     baskets = marked.groupBy("id").agg(F.collect_list("token").alias("t"), F.max("bad").alias("bad"))  # as wide as one URL
@@ -67,7 +67,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     if baskets.isEmpty():
         return empty
     found = FPGrowth(itemsCol="items", minSupport=least / max(1, baskets.count()), minConfidence=min_confidence).fit(baskets).associationRules
-    found = found.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(F.array_sort("antecedent").alias("items"), "confidence")
+    found = found.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("confidence") >= min_lift * bad / n)).select(F.array_sort("antecedent").alias("items"), "confidence")
     found = written(found, folder)
     by_token = F.struct("n", "token")
     rarest = found.select("items", "confidence", F.explode("items").alias("token")).join(telling, "token").groupBy("items", "confidence").agg(F.min(by_token)["token"].alias("rarest"))

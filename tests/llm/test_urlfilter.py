@@ -38,6 +38,13 @@ def test_mined_rules(spark):
     assert [r.verdict for r in urlfilter.filter_urls(rows, labelled).orderBy("page_id").collect()] == ["block", "allow", "allow"]
 
 
+def test_tokens_that_tell_only_together(spark):
+    pages = [(f"http://a.x.de/spam/p?q={i}", True) for i in range(200)] + [(f"http://a.x.de/ham/p?q={i}", False) for i in range(400)] + [(f"http://b.x.de/spam/y?q={i}", i % 2 == 0) for i in range(200)]
+    labelled = spark.createDataFrame(pages, "url string, bad boolean")
+    assert sorted(r["items"] for r in urlfilter.mine(labelled, min_confidence=0.9).collect()) == [["a", "spam"], ["p", "spam"]]
+    assert urlfilter.mine(labelled, min_confidence=0.3, min_lift=2.7).count() == 0 < urlfilter.mine(labelled, min_confidence=0.3, min_lift=2.6).count()  # 1.0 over 0.375 is 2.67
+
+
 def test_query_over_a_table(spark):
     sf = "/root/testdata/sf0.01"
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
