@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import map_blocks, table
-from orrery.llm.pretokens import slices
+from orrery.llm.pretokens import distinct, slices
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 
 @functools.cache
@@ -77,6 +77,14 @@ def _merge_long(parts: list[bytes], rank: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(rank[p] for p, ok in zip(parts, alive, strict=True) if ok)
 
 
+def packed(ids: list, kind: str) -> list[bytes]:
+    """Each sequence of ids as packed integers."""
+    size = np.dtype(kind).itemsize
+    ends = np.cumsum([0, *map(len, ids)]) * size
+    data = np.fromiter(itertools.chain.from_iterable(ids), kind, ends[-1] // size).tobytes()
+    return [data[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+
 class Pieces:
     """Ids of pieces as packed integers, computed once and kept in two generations of `most` each.
 
@@ -89,21 +97,24 @@ class Pieces:
         self.old: dict[bytes, bytes] = {}
 
     def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each of several different pieces."""
         found = [*map(self.young.get, pieces)]
-        if None in found:
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
-            missing, holes = [], [k for k, ids in enumerate(found) if ids is None]
-            for p in {pieces[k] for k in holes}:
-                ids = self.old.get(p)
-                if ids is None:
-                    missing.append(p)
-                else:
-                    self.young[p] = ids
-            own = dict(zip(missing, self.solve(missing), strict=True))
-            self.young.update((p, ids) for p, ids in own.items() if len(p) <= 64)
-            for k in holes:
-                found[k] = self.young.get(pieces[k]) or own[pieces[k]]
+        holes = [k for k, ids in enumerate(found) if ids is None]
+        if not holes:
+            return found
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        young, old, missing = self.young, self.old.get, []
+        for k in holes:
+            found[k] = ids = old(pieces[k])
+            if ids is None:
+                missing.append(k)
+            else:
+                young[pieces[k]] = ids
+        for k, ids in zip(missing, self.solve([pieces[k] for k in missing]), strict=True):
+            found[k] = ids
+            if len(pieces[k]) <= 64:
+                young[pieces[k]] = ids
         return found
 
 
@@ -111,17 +122,21 @@ class Pieces:
 def merged(path: str) -> Pieces:
     rank = ranks(path)
     kind = "<u2" if max(rank.values()) < 1 << 16 else "<u4"
-    return Pieces(lambda pieces: [np.array(merge(p, rank), kind).tobytes() for p in pieces], kind)
+    return Pieces(lambda pieces: packed([merge(p, rank) for p in pieces], kind), kind)
 
 
 def encode_block(texts: list[str | None], pieces_of: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of the texts and where each text's ids start, the end included."""
     data, at, first = slices(texts)
-    found = pieces_of([data[a:b] for a, b in itertools.pairwise(at)])
-    width = pieces_of.kind.itemsize
-    ends = np.zeros(len(found) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // width, out=ends[1:])
-    return np.frombuffer(b"".join(found), pieces_of.kind), ends[first]
+    one, which = distinct(data, at)
+    found = pieces_of([data[a:b] for a, b in zip(at[one].tolist(), at[one + 1].tolist(), strict=True)])
+    size = np.fromiter(map(len, found), np.int64, len(found)) // pieces_of.kind.itemsize
+    start = np.cumsum(size) - size
+    ids = np.frombuffer(b"".join(found), pieces_of.kind)
+    size, start = size[which], start[which]
+    ends = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    return ids[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)], ends[first]
 
 
 def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:

@@ -130,7 +130,7 @@ def boundaries(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
-def slices(texts: list[str | None]) -> tuple[bytes, list[int], np.ndarray]:
+def slices(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The texts' UTF-8 bytes end to end, the token starts in them plus the end, and each text's first token."""
     joined = "".join(x for x in texts if x)
     data = joined.encode("utf-8", "surrogatepass")
@@ -147,4 +147,37 @@ def slices(texts: list[str | None]) -> tuple[bytes, list[int], np.ndarray]:
         extra = np.zeros(len(points) + 1, np.int32)
         np.cumsum(more, out=extra[1:])
         at = cut + extra[cut]
-    return data, [*at.tolist(), len(data)], np.searchsorted(cut, starts)
+    return data, np.append(at, len(data)), np.searchsorted(cut, starts)
+
+
+def distinct(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the slices data[at[k]:at[k + 1]]: positions that hold every different slice, and which of them each slice equals.
+
+    Slices of up to 15 bytes are two 64-bit words with the length in the last byte, longer ones stand for themselves.
+    Equal words are found by sorting a hash of them and then compared; should two differ under one hash, all stand for themselves.
+    """
+    n = len(at) - 1
+    size = np.diff(at)
+    short = np.flatnonzero(size < 16)
+    words = np.ndarray(len(data) + 8, "<u8", np.frombuffer(data + bytes(16), np.uint8), strides=(1,))  # the 8 bytes at every place
+    keep = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1] * 8, np.uint64)  # of the low word
+    start, own = at[short], size[short]
+    low = words[start] & keep[own]
+    high = (words[np.minimum(start + 8, len(data))] & keep[np.maximum(own - 8, 0)]) | own.astype(np.uint64) << np.uint64(56)
+    key = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    key ^= key >> np.uint64(32)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.empty(len(key), bool)
+    new[:1] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    one = order[new]
+    same = np.empty(len(key), np.int64)
+    same[order] = np.cumsum(new) - 1
+    if (low != low[one][same]).any() or (high != high[one][same]).any():
+        return np.arange(n), np.arange(n)
+    inverse = np.empty(n, np.int64)
+    inverse[short] = same
+    long = np.flatnonzero(size >= 16)
+    inverse[long] = len(one) + np.arange(len(long))
+    return np.concatenate([short[one], long]), inverse

@@ -1,12 +1,15 @@
 """Token ids as flat unsigned integer files plus 64-bit document offsets.
 
-write() sorts documents by id over range partitions; each partition writes one `.ids` file (little-endian
-unsigned 16-bit integers where the vocabulary fits, else 32-bit) and one `.idx` file (n document ids, then
-n + 1 offsets in ids, all 64-bit). A manifest of one row a partition is committed by Spark; the ids before
+write() encodes texts where they lie and stores the packed ids; these, not the texts, are sorted by document
+id over range partitions. Each partition writes an `.ids` file (little-endian unsigned 16-bit integers where
+the vocabulary fits, else 32-bit), a `.docs` file (n document ids, 64-bit) and an `.off` file (n + 1 offsets in
+ids, 64-bit), all as streams. A manifest of one row a partition is committed by Spark; the ids before
 a partition are the prefix sum of the manifest's counts. read() maps the files into memory.
 
-Defined cases: a null or empty text gives only the end id; a null doc_id sorts first; repeated rows are
-written each; an empty table gives no files and no rows.
+Defined cases: a null or empty text gives only the end id; a long text is one row of its ids, so a task holds the
+ids of a few texts; a null doc_id sorts first; repeated rows are written each, rows that share an id by the
+crc32 of their ids, and a range may end within them, however many they are; other columns, whatever their names, are not
+read; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -18,15 +21,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.bpe import Pieces, encode_block
-from orrery.llm.common import blocks, shared_folder, small_batches, table, written
+from orrery.llm.bpe import Pieces, encode_block, packed
+from orrery.llm.common import map_blocks, shared_folder, table, written
 from orrery.llm.files import create, mapped, target
 
-MANIFEST = "part long, ids_path string, idx_path string, width int, n_docs long, n_tokens long"
+MANIFEST = "part long, ids_path string, docs_path string, off_path string, width int, n_docs long, n_tokens long"
+#: Stands for a null document id in a `.docs` file.
+NO_ID = np.iinfo(np.int64).min
 
 
 def _byte_characters() -> dict[int, int]:
@@ -52,12 +58,14 @@ class Library:
             raise ValueError(f"{path}: not a byte-level vocabulary")
         self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.pieces = Pieces(self._solve, f"<u{self.width}", 450_000)
+        self.pieces = Pieces(self._solve, f"<u{self.width}")
 
     def _solve(self, pieces: list[bytes]) -> list[bytes]:
         """The model sees a piece as its byte-level pre-tokeniser would hand it over: one character a byte."""
-        kind, tokenize = self.pieces.kind, self.model.model.tokenize
-        return [np.array([t.id for t in tokenize(p.decode("latin-1").translate(BYTE_CHARACTERS))], kind).tobytes() for p in pieces]
+        tokenize = self.model.model.tokenize
+        joined = b"".join(pieces).decode("latin-1").translate(BYTE_CHARACTERS)
+        ends = itertools.accumulate(map(len, pieces), initial=0)
+        return packed([[t.id for t in tokenize(joined[a:b])] for a, b in itertools.pairwise(ends)], self.pieces.kind)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         odd = {i for i, x in enumerate(texts) if x and any(a in x for a in self.added)}
@@ -75,40 +83,55 @@ def library(path: str) -> Library:
     return Library(path)
 
 
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the packed ids of its whole text and the end id, their crc32."""
+
+    def make():
+        model = library(vocabulary)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, ends = model.encode(batch.column(1).to_pylist())
+            data = np.insert(ids, ends[1:], end_id).tobytes()  # an end id after each text
+            ends = (ends + np.arange(len(ends))) * model.width
+            own = [data[a:b] for a, b in itertools.pairwise(ends.tolist())]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(map(zlib.crc32, own), pa.int64())], names=["doc_id", "ids", "crc"])
+
+        return work
+
+    return map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), make, "doc_id long, ids binary, crc long")
+
+
 def write(docs: DataFrame, vocabulary: str, end_id: int = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns the manifest with each partition's base, the ids before it."""
-    spark = docs.sparkSession
-    folder = folder or shared_folder(spark)
+    folder = folder or shared_folder(docs.sparkSession)
+    width = library(vocabulary).width
 
     def run(batches):
-        model = library(vocabulary)
-        width = model.width
-        names = target(folder, ".ids"), target(folder, ".idx")
-        doc_ids, sizes = [], []
-        out = None
+        paths = [target(folder, suffix) for suffix in (".ids", ".docs", ".off")]
+        n, at, out = 0, 0, []
         for batch in batches:
-            for part in blocks(batch):
-                out = out or create(names[0])
-                ids, ends = model.encode(part.column(1).to_pylist())
-                flat = np.insert(ids, ends[1:], end_id)  # an end id after each text
-                out.write(flat.tobytes())
-                sizes.append(np.diff(ends) + 1)
-                doc_ids.append(part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
-        if out is None:
-            return
-        out.close()
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
-        with create(names[1]) as index:
-            index.write(np.concatenate(doc_ids).astype("<i8").tobytes())
-            index.write(offsets.tobytes())
-        row = [TaskContext.get().partitionId(), *names, width, len(offsets) - 1, int(offsets[-1])]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
-
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = written(rows.mapInArrow(run, MANIFEST), folder)
+            if not batch.num_rows:
+                continue
+            if not out:
+                out = [create(path) for path in paths]
+                out[2].write(np.zeros(1, "<i8").tobytes())
+            own = batch.column(1)
+            sizes = pc.binary_length(own).to_numpy(zero_copy_only=False).astype("<i8") // width
+            for ids in own:
+                out[0].write(ids.as_buffer())
+            out[1].write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            out[2].write((at + np.cumsum(sizes)).astype("<i8").tobytes())
+            n, at = n + batch.num_rows, at + int(sizes.sum())
+        for file in out:
+            file.close()
+        if out:
+            row = [TaskContext.get().partitionId(), *paths, width, n, at]
+            kinds = [pa.int64(), *[pa.string()] * 3, pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
+
+    rows = written(encoded(docs, vocabulary, end_id, id_col, text_col), folder).withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange("doc_id", "crc", "row").sortWithinPartitions("doc_id", "crc", "row").select("doc_id", "ids")
+    manifest = written(dealt.mapInArrow(run, MANIFEST), folder)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -119,17 +142,16 @@ def read(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                index, ids = mapped(row["idx_path"], "<i8"), mapped(row["ids_path"], f"<u{row['width']}")
+                ids, doc_ids, offsets = (mapped(row[f"{name}_path"], kind) for name, kind in (("ids", f"<u{row['width']}"), ("docs", "<i8"), ("off", "<i8")))
                 n = row["n_docs"]
-                doc_ids, offsets = index[:n], index[n:]
-                if len(offsets) != n + 1 or offsets[-1] != len(ids) or row["n_tokens"] != len(ids):
-                    raise ValueError(f"{row['ids_path']}: {len(ids)} ids, {len(offsets)} offsets; the manifest has {row['n_tokens']}, {n + 1}")
+                if len(doc_ids) != n or len(offsets) != n + 1 or offsets[-1] != len(ids) or row["n_tokens"] != len(ids):
+                    raise ValueError(f"{row['ids_path']}: {len(ids)} ids, {len(doc_ids)} documents, {len(offsets)} offsets; the manifest has {row['n_tokens']}, {n}, {n + 1}")
                 for a in range(0, n, 10_000):
                     b = min(n, a + 10_000)
                     crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in itertools.pairwise(offsets[a : b + 1].tolist())]
                     own = doc_ids[a:b]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, pa.int64(), mask=own == np.iinfo(np.int64).min), pa.array(row["base"] + offsets[a:b]), pa.array(np.diff(offsets[a : b + 1])), pa.array(crc, pa.int64())],
+                        [pa.array(own, pa.int64(), mask=own == NO_ID), pa.array(row["base"] + offsets[a:b]), pa.array(np.diff(offsets[a : b + 1])), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 

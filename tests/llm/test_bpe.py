@@ -80,3 +80,42 @@ def test_token_files(spark):
     broken = manifest.withColumn("n_tokens", manifest["n_tokens"] + 1)
     with pytest.raises(Exception, match="the manifest has"):
         tokenfiles.read(broken).collect()
+
+
+def test_token_files_odd_rows(spark, tmp_path):
+    """Repeated rows, null ids, ids that share texts or don't, a long text, clashing names, many ranges."""
+    import zlib
+    from itertools import accumulate
+
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    pairs = [(5, "same")] * 400 + [(5, "other")] * 3 + [(None, "x y")] * 5 + [(None, None), (1, "ab c " * 60_000), (9, None), (9, "")]
+    random.Random(3).shuffle(pairs)
+    docs = documents(spark, pairs).repartition(7).withColumnRenamed("source", "ids").withColumnRenamed("lang", "crc").withColumn("row", F.lit(1))
+    got = [tuple(r) for r in tokenfiles.read(tokenfiles.write(docs, path)).collect()]
+    coded = {t: [*model.encode(t or "", add_special_tokens=False).ids, 0] for _, t in pairs}
+    crc = {t: zlib.crc32(np.array(ids, "<u4").tobytes()) for t, ids in coded.items()}
+    tie = {t: zlib.crc32(np.array(ids, "<u2").tobytes()) for t, ids in coded.items()}
+    pairs.sort(key=lambda p: (-1 if p[0] is None else p[0], tie[p[1]]))
+    starts = accumulate((len(coded[t]) for _, t in pairs), initial=0)
+    want = [(i, start, len(coded[t]), crc[t]) for (i, t), start in zip(pairs, starts, strict=False)]
+    assert sorted(got, key=lambda r: r[1]) == want
+
+
+def test_distinct_slices():
+    import numpy as np
+
+    from orrery.llm.pretokens import distinct
+
+    rng = random.Random(1)
+    parts = [bytes(rng.choice(b"ab\x00") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17]))) for _ in range(3000)]
+    at = np.cumsum([0, *map(len, parts)])
+    one, which = distinct(b"".join(parts), at)
+    assert [parts[k] for k in one[which]] == parts
+    short = {p for p in parts if len(p) < 16}
+    assert sorted(parts[k] for k in one if len(parts[k]) < 16) == sorted(short)
+    assert [x.tolist() for x in distinct(b"", np.zeros(1, np.int64))] == [[], []]
