@@ -21,7 +21,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,17 +83,19 @@ def library(path: str) -> Library:
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the packed ids of its whole text and the end id, their crc32."""
+    """doc_id, the packed ids of its whole text and the end id (compressed, as they are stored and moved), their crc32."""
 
     def make():
-        model = library(vocabulary)
+        import zstandard
+
+        model, squeeze = library(vocabulary), zstandard.ZstdCompressor(level=1).compress
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, ends = model.encode(batch.column(1).to_pylist())
             data = np.insert(ids, ends[1:], end_id).tobytes()  # an end id after each text
             ends = (ends + np.arange(len(ends))) * model.width
             own = [data[a:b] for a, b in itertools.pairwise(ends.tolist())]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(map(zlib.crc32, own), pa.int64())], names=["doc_id", "ids", "crc"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(squeeze, own), pa.binary()), pa.array(map(zlib.crc32, own), pa.int64())], names=["doc_id", "ids", "crc"])
 
         return work
 
@@ -107,6 +108,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 0, folder: str | None
     width = library(vocabulary).width
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         paths = [target(folder, suffix) for suffix in (".ids", ".docs", ".off")]
         n, at, out = 0, 0, []
         for batch in batches:
@@ -115,10 +119,11 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 0, folder: str | None
             if not out:
                 out = [create(path) for path in paths]
                 out[2].write(np.zeros(1, "<i8").tobytes())
-            own = batch.column(1)
-            sizes = pc.binary_length(own).to_numpy(zero_copy_only=False).astype("<i8") // width
-            for ids in own:
-                out[0].write(ids.as_buffer())
+            sizes = np.zeros(batch.num_rows, np.int64)
+            for k, ids in enumerate(batch.column(1)):
+                data = unpack(ids.as_buffer())
+                sizes[k] = len(data) // width
+                out[0].write(data)
             out[1].write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             out[2].write((at + np.cumsum(sizes)).astype("<i8").tobytes())
             n, at = n + batch.num_rows, at + int(sizes.sum())
