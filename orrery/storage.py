@@ -17,13 +17,22 @@ _MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset (single-process tests), a temporary one."""
+    """A new folder under spark.checkpoint.dir; the driver deletes it when it ends, release() earlier.
+
+    Where that setting is missing, a local master gets a temporary folder. On a cluster that is an error: executors
+    would each write to a disk of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and the executors of {master} share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "orrery-shared")
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/orrery-{uuid.uuid4().hex}")
     system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
     _MADE.append(system.makeQualified(path).toString())  # a path without a scheme belongs to the cluster's default store
     return _MADE[-1]
 
