@@ -1,18 +1,27 @@
 """Personal data by patterns, and terms that give protected entities away by corpus co-occurrence.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. Every value that they find is a
-protected entity. A term is a word within CONTEXT_CHARS of it. With documents as the unit,
+protected entity. A term is a word of four characters or more, or a shorter one with a capital or of a script without
+capitals, outside the matches. With whole documents (rows) as the unit of all four counts,
     disclosure(e, t) = PMI(e; t) / IC(e) = log(c(e,t) * N / (c(e) * c(t))) / log(N / c(e)),
-which is 1 where the term occurs with that entity only. Terms of at least `support` documents whose
-disclosure reaches `threshold` are found in every text as well; masking removes both.
+which is 1 where the term occurs with that entity only. Terms of at least `support` documents with an entity whose
+disclosure reaches `threshold` are found in every text as well; masking removes both. An entity in fewer than `support`
+documents has no terms: what one or two documents show of it is no evidence.
 
-All of it is DataFrame functions. Positions come from the lengths of what lies between matches, in code points.
+As c(e,t) <= c(e), the threshold bounds c(t) by N^(1 - threshold) * c(e)^threshold: terms beyond that go before
+entities and terms of a document meet, so that few pairs are made.
+
+All of it is DataFrame functions. Positions come from the lengths of what lies between matches, in code points, by a scan
+in log(matches) steps; nothing grows with the square of a text or of its matches.
 Defined cases: a null or empty text has no spans; repeated rows count as one document each and get the
-same spans; rows with a null doc_id count for the corpus as one document; no pattern backtracks over a long run.
+same spans, rows with a null doc_id likewise; other columns keep their values, whatever their names; no pattern backtracks
+over a long run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,23 +37,34 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-CONTEXT_CHARS = 60
-TERM = r"\p{L}[\p{L}\p{N}_]{3,}"
+TERM = r"(?<![\p{L}\p{N}_])(?:\p{L}[\p{L}\p{N}_]{3,}+|[\p{Lu}\p{Lo}]\p{L}{1,2}+(?![\p{L}\p{N}_]))"
+#: Code points of a piece that substrings are taken from.
+PIECE = 512
 EMPTY = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _located(text: Column, pattern: Column) -> Column:
-    """All matches as structs (start, end, value), from the gaps between them."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _powers(n: Column) -> Column:
+    """1, 2, 4 and so on below n."""
+    return F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < n)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """All prefixes of an array of integers merged (from 0), by doubling: n log n steps, no growing array."""
+    step = lambda acc, s: F.transform(acc, lambda x, i: merge(x, F.coalesce(F.get(acc, i - s), F.lit(0))))
+    return _let(values, lambda v: F.aggregate(_powers(F.size(v)), v, step))
+
+
+def _located(text: Column, pattern: str) -> Column:
+    """All matches as structs (start, end, value), from the gaps between them."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct((F.length(g) + F.length(h)).alias("step"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
+    place = lambda x, end: F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("value"))
+    return _let(pairs, lambda p: F.zip_with(p, _running(F.transform(p, lambda x: x["step"]), lambda x, y: x + y), place))
 
 
 def _luhn(digits: Column) -> Column:
@@ -71,7 +91,7 @@ def base_spans(text: Column) -> Column:
 
     def of(number: int) -> Column:
         name = KINDS[number]
-        found = F.filter(_located(text, F.lit(PATTERNS[name])), lambda x: _valid(name, x["value"]))
+        found = F.filter(_located(text, PATTERNS[name]), lambda x: _valid(name, x["value"]))
         shaped = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
         return F.when(F.coalesce(text.rlike(GATES[name]), F.lit(False)), shaped).otherwise(F.array().cast(kind))
 
@@ -84,10 +104,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, row: bool = False) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
 
 
-def _context(text: Column, span: Column) -> Column:
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT_CHARS)))
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS))
-    return F.regexp_extract_all(F.lower(F.concat(before, F.lit(" "), after)), F.lit(f"({TERM})"), F.lit(1))
+def terms_of(text: Column) -> Column:
+    """The different terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
 def disclosing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -95,20 +114,30 @@ def disclosing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9,
     folder = folder or shared_folder(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     near = rows.where(F.col("text").rlike(r"@|[0-9]")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    near = near.select("doc_id", F.explode(F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), _context(F.col("text"), s).alias("terms")))).alias("x"))
-    near = written(near.select("doc_id", "x.entity", F.array_distinct("x.terms").alias("terms")), folder)
-    entities = near.groupBy("entity").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("c_e")).where(F.col("c_e") >= support)
-    pairs = near.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "entity", F.explode("terms").alias("term")).distinct()
-    pairs = written(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support).join(entities, "entity"), folder)
-    wanted = pairs.select("term").distinct()
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))  # a frequent word is one row a task before it meets others
-    counts = written(counts.join(wanted, "term"), folder)  # inner: a semi-join would be pushed below the counts
-    n = rows.agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("n"))
-    total = n.first()["n"]
+    entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))
+    near = written(near.select(F.monotonically_increasing_id().alias("unit"), F.array_distinct(F.transform("spans", entity)).alias("entities"), F.array_intersect(terms_of(F.col("text")), terms_of(replaced(F.col("text"), F.col("spans"), lambda _: F.lit(" ")))).alias("terms")), folder)
+    each = near.select("unit", F.explode("entities").alias("entity"))
+    entities = written(each.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).where(F.col("c_e") >= support), folder)
+    sizes = rows.agg(F.count(F.lit(1)).alias("n")).first(), entities.agg(F.max("c_e").alias("most")).first()
+    total, most = max(2, sizes[0]["n"]), sizes[1]["most"] or 0
+    rare = lambda c_t, c_e: c_t <= (1 + 1e-9) * total ** (1 - threshold) * F.pow(c_e.cast("double"), F.lit(threshold))
+    own = written(each.join(entities, "entity").groupBy("unit").agg(F.collect_list(F.struct("entity", "c_e")).alias("own")), folder)  # as wide as one document
+    close = near.select("unit", "terms").join(own.select("unit"), "unit").select("unit", F.explode("terms").alias("term"))
+    wanted = close.groupBy("term").agg(F.count(F.lit(1)).alias("near")).where(F.col("near") >= support).select("term")
+    counts = rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))  # a frequent word is one row a task before it meets others
+    counts = written(counts.where(rare(F.col("c_t"), F.lit(most))).join(wanted, "term"), folder)  # inner: a semi-join would be pushed below the counts
+    terms = close.join(counts, "term").groupBy("unit").agg(F.collect_list(F.struct("term", "c_t")).alias("terms"))
+    pairs = own.join(terms, "unit").select(F.explode("own").alias("e"), "terms").select("e", F.explode("terms").alias("t")).select("e.*", "t.*").where(rare(F.col("c_t"), F.col("c_e")))
+    pairs = pairs.groupBy("entity", "c_e", "term", "c_t").agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support)
     ratio = lambda a, b: F.log(a * float(total) / b)
     score = ratio(F.col("c_et"), F.col("c_e") * F.col("c_t")) / F.greatest(ratio(F.lit(1.0), F.col("c_e")), F.lit(1e-9))
-    return pairs.join(counts, "term").select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return pairs.select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
+
+
+def _among(word: Column, ordered: Column) -> Column:
+    """Whether a word is in a sorted array, by halving."""
+    step = lambda at, s: F.when(F.coalesce(F.get(ordered, at + s - 1) <= word, F.lit(False)), at + s).otherwise(at)
+    return F.coalesce(F.get(ordered, F.aggregate(F.reverse(_powers(F.size(ordered) + 1)), F.lit(0), step) - 1) == word, F.lit(False))
 
 
 def find_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
@@ -116,16 +145,16 @@ def find_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col:
     folder = shared_folder(docs.sparkSession)
     rows = _rows(docs, id_col, text_col, row)
     terms = written(disclosing_terms(docs, support, threshold, id_col, text_col, folder).select("term").distinct(), folder)
-    words = rows.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("term"))
+    words = rows.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
     hits = written(words.join(terms, "term", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms")), folder)
     maybe, clean = split_by_ids(rows, "doc_id", hits.select("doc_id"))
     found = maybe.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id")
     found = found.unionByName(clean.withColumn("terms", F.lit(None).cast("array<string>")))
     base = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join(F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
-    added = F.transform(_located(F.col("text"), pattern), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
+    added = F.filter(_located(F.col("text"), TERM), lambda s: _among(F.lower(s["value"]), F.col("terms")))
+    added = F.transform(added, lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
     found = found.withColumn("base", F.coalesce(F.when(F.col("text").rlike(r"@|[0-9]"), base), F.array().cast(EMPTY)))
-    return found.select("doc_id", "text", *["row"] * row, "base", F.when(F.col("terms").isNotNull(), F.array_sort(F.concat("base", added))).otherwise(F.col("base")).alias("spans"))
+    return found.select("doc_id", "text", *["row"] * row, "base", F.when(F.col("terms").isNotNull() & F.col("text").isNotNull(), F.array_sort(F.concat("base", added))).otherwise(F.col("base")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -134,17 +163,28 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind; of overlapping spans the first counts, the rest of the others goes."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+def replaced(text: Column, spans: Column, name: Callable[[Column], Column]) -> Column:
+    """The text with name(span) for every span; of overlapping spans the first counts, the rest of the others goes."""
+
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        here = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+        return F.substring(here, start % PIECE + 1, end - start)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.get(names, s["kind"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
+    def put(pieces: Column, own: Column, ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        parts = F.transform(own, lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(pieces, before(i), s["start"]), name(s))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), cut(pieces, before(F.size(own)), F.length(text)))
 
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    done = _let(pieces, lambda p: _let(spans, lambda own: _let(_running(F.transform(own, lambda s: s["end"]), F.greatest), lambda ends: put(p, own, ends))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by its kind."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    return replaced(text, spans, lambda s: F.get(names, s["kind"]))
 
 
 def mask_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

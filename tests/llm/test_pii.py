@@ -60,3 +60,76 @@ def test_disclosing_terms(spark):
 def test_overlaps_are_masked_once(spark):
     df = spark.createDataFrame([("ab 1.2.3.4 cd",)], "t string").withColumn("s", F.expr("array(named_struct('start',3,'kind',1,'end',10),named_struct('start',5,'kind',2,'end',11))"))
     assert df.select(pii.masked(F.col("t"), F.col("s"))).first()[0] == "ab [IP]cd"
+
+
+def slow_disclosure(texts, support, threshold):
+    """Counts over whole documents in plain Python."""
+    word = re.compile(r"\w+")
+    entities, terms = {}, {}
+    for i, text in texts.items():
+        spans = slow(text)
+        rest = list(text or "")
+        for a, k, b in spans:
+            entities.setdefault(f"{k}:{text[a:b].lower()}", set()).add(i)
+            rest[a:b] = " " * (b - a)
+        for where, out in ((text or "", terms), ("".join(rest), terms.setdefault(None, {}))):
+            for w in word.findall(where):
+                if not w[0].isdigit() and (len(w) > 3 or (len(w) > 1 and w[0].isupper())):
+                    out.setdefault(w.lower(), set()).add(i)
+    outside, n, out = terms.pop(None), max(2, len(texts)), {}
+    for e, docs in entities.items():
+        for t, own in outside.items():
+            both = len(docs & own & terms.get(t, set()))
+            if len(docs) >= support and both >= support:
+                score = math.log(both * n / (len(docs) * len(terms[t]))) / max(math.log(n / len(docs)), 1e-9)
+                if score >= threshold:
+                    out[t, e] = score
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    rng = random.Random(8)
+    names, mails = ["Kim", "Ann", "Zarquon", "Waldorf", "Statler"], ["a@b.co", "Kim@x.org", "w@f.de", "9.9.9.9", "+49 (30) 1234567"]
+    texts = {}
+    for i in range(160):
+        who = rng.randrange(5)
+        parts = [rng.choice(["river", "house", "is", "The", "of", "some", "1abcd", "x_yz"]) for _ in range(rng.randint(3, 20))]
+        parts += [names[who]] * (rng.random() < 0.3) + [mails[who]] * (rng.random() < 0.3) + [f"Kim@x.org"] * (rng.random() < 0.03)
+        rng.shuffle(parts)
+        texts[i] = " ".join(parts)
+    for support, threshold in ((3, 0.9), (2, 0.3), (1, 0.6)):
+        got = {(r.term, r.entity): r.disclosure for r in pii.disclosing_terms(documents(spark, texts), support, threshold).collect()}
+        want = slow_disclosure(texts, support, threshold)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert want or threshold > 0.5
+
+
+def test_masks_equal_a_plain_loop(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab é😀\n中") for _ in range(rng.randint(0, 2500)))
+        cuts = [sorted(rng.sample(range(len(text) + 1), 2)) for _ in range(rng.randint(0, 30))] if len(text) > 1 else []
+        rows.append((i, text, sorted((a, rng.randrange(5), b) for a, b in cuts)))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,kind:int,end:int>>")
+    for i, got in df.select("i", pii.masked(F.col("text"), F.col("spans"))).collect():
+        at, want = 0, ""
+        for a, k, b in rows[i][2]:
+            if a >= at:
+                want += rows[i][1][at:a] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, b)
+        assert got == want + rows[i][1][at:]
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    numbers = " ".join(str(1000 + k) for k in range(40_000))
+    mails = " ".join(f"u{k}@example.com" for k in range(16_000))
+    docs = documents(spark, {1: numbers, 2: mails, 3: "4111111111111111, " * 16_000}).cache()
+    docs.select(F.size(pii.base_spans(F.col("text")))).collect()  # compiled
+    began = time.time()
+    assert [r[0] for r in docs.select("doc_id", F.size(pii.base_spans(F.col("text"))).alias("n")).orderBy("doc_id").select("n").collect()][1:] == [16_000, 16_000]
+    got = docs.where("doc_id = 2").select(pii.masked(F.col("text"), pii.base_spans(F.col("text")))).first()[0]
+    assert got == " ".join(["[EMAIL]"] * 16_000)
+    assert time.time() - began < 30  # seconds; a quadratic way took minutes
