@@ -2,16 +2,21 @@
 
 Tokens are words and their stems (prefixes of 4 to 7 letters). They get log-odds of toxic against other
 labelled documents under an informative Dirichlet prior (the pooled counts, scaled to `prior` words, plus `flat`
-of each). Tokens
-whose document counts differ by a likelihood-ratio z-score of `min_z` form the lexicon; a word counts as its
-most telling token, and all other words share one log-odds, which is negative. A linear scan finds every maximal segment; by Karlin and
-Altschul's extreme-value law a segment of score S arises by chance in a text of n words with
-E = n * exp(-lambda * S), lambda from the lexicon's own null rates. A text's score is exp(-E) of the sum over its
-significant segments: the probability that chance alone has no such passage.
+of each). Tokens of at least `min_docs` toxic documents whose document shares differ by a likelihood-ratio z-score of
+`min_z` form the lexicon. A word belongs to its most telling token, every other word to one class of the rest; with the
+words so dealt, each token's and the rest's rates in both classes are counted again, and their log ratio under the same
+prior is the score of a word. The rest's score is negative.
+
+A linear scan finds every maximal segment. By Karlin and Altschul's extreme-value law chance gives a text of n words
+n * exp(-lambda * S) segments of score S, where lambda solves E[exp(lambda * score)] = 1 over the words of other texts. As
+scores are log ratios of rates that add up to 1 in both classes, lambda is 1. For r segments together chance gives
+E = n^r * exp(-lambda * sum of S) / r! such sets. A text's score is exp(-E) of its segments with less than one by chance
+(of its highest one if there is none): the probability that chance alone has no such passages.
 
 Fitting reads at most `per_class` labelled documents of each class, those of the smallest hash of their id.
-Defined cases: null, empty and wordless texts score 0; no labels give an empty lexicon and scores of 0;
-repeated rows are scored each; labels that are null are left out; a document with contradicting labels counts as toxic.
+Defined cases: null, empty and wordless texts score 0; no labels, or none of a class, give an empty lexicon and scores of 0;
+repeated rows are scored each; labels that are null are left out; a document with contradicting labels counts as toxic;
+a long text takes time in proportion to its length, wherever its telling words lie; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import held_out, map_blocks, table
+from orrery.llm.common import held_out, map_blocks, table, written
 
 THRESHOLD = 0.7
 STEMS = (7, 6, 5, 4)
@@ -73,32 +78,34 @@ def segments(text_words: list[str], lexicon: Lexicon, known: _Words | None = Non
     known = known or lexicon.of_words()
     hits = [(i, x) for i, x in enumerate(map(known.__getitem__, text_words)) if x is not None]
     total, at = 0.0, 0
-    found: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum after
+    found: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, nearest earlier one with a smaller sum before
     for i, x in hits:
         before = total - cost * (i - at)
         total, at = before + x, i + 1
         if total <= before:
             continue
-        new = (i, i + 1, before, total)
+        first, low, k = i, before, len(found) - 1
         while True:
-            k = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < new[2]), None)
-            if k is None or found[k][3] >= new[3]:
-                found.append(new)
+            while k >= 0 and found[k][2] >= low:
+                k = found[k][4]  # those between aren't smaller either
+            if k < 0 or found[k][3] >= total:
+                found.append((first, i + 1, low, total, k))
                 break
-            new = (found[k][0], new[1], found[k][2], new[3])
+            first, _, low, _, nearer = found[k]
             del found[k:]
-    return [(a, b, high - low) for a, b, low, high in found]
+            k = nearer
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 def score(n: int, scores: list[float], rate: float) -> float:
-    """exp(-E): E is what chance gives of segments as high as the significant ones together."""
+    """exp(-E): E is how many sets of segments as high as the significant ones together chance gives."""
     if not scores or n == 0:
         return 0.0
-    high = [s for s in scores if n * math.exp(-rate * s) < 1] or [max(scores)]
-    return math.exp(-min(700.0, n * math.exp(-rate * sum(high))))
+    high = [s for s in scores if math.log(n) < rate * s] or [max(scores)]
+    return math.exp(-math.exp(min(6.0, len(high) * math.log(n) - rate * sum(high) - math.lgamma(len(high) + 1))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float = 100.0, flat: float = 0.5, min_z: float = 4.5, min_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float = 100.0, flat: float = 0.5, min_z: float = 3.5, min_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """The lexicon from labelled documents. What comes to the driver is bounded by the sample."""
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     parts = [ids.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
@@ -113,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float
                 for w in words(text):
                     for k in tokens(w):
                         counts[k] = counts.get(k, 0) + 1
+                counts[""] = sum(n for w, n in counts.items() if not w.endswith("*"))
                 for w, n in counts.items():
                     x = seen.setdefault((w, label), [0, 0])
                     x[0] += 1
@@ -127,36 +135,50 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float
 
     counts = map_blocks(texts, make, "word string, label int, docs long, n long")
     pick = lambda col, k: F.sum(F.when(F.col("label") == k, F.col(col)).otherwise(0))
-    by_word = counts.groupBy("word").agg(pick("n", 1).alias("t"), pick("n", 0).alias("o"), pick("docs", 1).alias("td"), pick("docs", 0).alias("od"))
-    sizes = texts.groupBy("label").agg(F.count(F.lit(1)).alias("docs")).collect()
-    docs_t, docs_o = (sum(r["docs"] for r in sizes if r["label"] == k) for k in (1, 0))
-    if not docs_t or not docs_o:
+    by_word = written(counts.groupBy("word").agg(pick("n", 1).alias("t"), pick("n", 0).alias("o"), pick("docs", 1).alias("td"), pick("docs", 0).alias("od")))
+    every = by_word.where("word = ''").first()  # all documents and words
+    if every is None or not all(every[x] for x in ("t", "o", "td", "od")):
         return Lexicon({}, 0.0, 1.0)
+    all_t, all_o, docs_t, docs_o = every["t"], every["o"], every["td"], every["od"]
     side = lambda n, total: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) * (docs_t + docs_o) / ((F.col("td") + F.col("od")) * total))).otherwise(0.0)
     rest = lambda n, total: F.when(F.col(n) < total, (total - F.col(n)) * F.log((total - F.col(n)) * (docs_t + docs_o) / ((docs_t + docs_o - F.col("td") - F.col("od")) * total))).otherwise(0.0)
     ratio = 2 * (side("td", docs_t) + side("od", docs_o) + rest("td", docs_t) + rest("od", docs_o))
     above = F.col("td") * docs_o > F.col("od") * docs_t
-    lexical = by_word.where((F.col("td") >= min_docs) & above).where(F.sqrt(F.greatest(ratio, F.lit(0.0))) >= min_z)
-    totals = counts.where(~F.col("word").endswith("*")).groupBy().agg(pick("n", 1).alias("t"), pick("n", 0).alias("o")).first()
-    all_t, all_o = totals["t"] or 0, totals["o"] or 0
-    if not all_t or not all_o:
-        return Lexicon({}, 0.0, 1.0)
-    alpha = prior * (F.col("t") + F.col("o")) / (all_t + all_o) + flat
-    t, o = F.col("t") + alpha, F.col("o") + alpha
-    lexical = lexical.select("word", "t", "o", (F.log(t / (all_t + prior - t)) - F.log(o / (all_o + prior - o))).alias("delta"))
-    kept = [r for r in lexical.collect() if r["delta"] > 2]
-    in_t, in_o = sum(r["t"] for r in kept) / all_t, sum(r["o"] for r in kept) / all_o
-    other = math.log((1 - min(in_t, 0.5)) / (1 - min(in_o, 0.49)))
-    other = min(other, -1e-4)
-    odds = {r["word"]: r["delta"] for r in kept}
-    share = [((r["o"] + prior * (r["t"] + r["o"]) / (all_t + all_o)) / (all_o + prior), r["delta"]) for r in kept]
-    rest = 1 - sum(p for p, _ in share)
-    moment = lambda x: sum(p * math.exp(x * s) for p, s in share) + rest * math.exp(x * other) - 1
-    low, high = 1e-3, 3.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if moment(mid) < 0 else (low, mid)
-    return Lexicon(odds, other, max(0.3, low))
+    lexical = by_word.where((F.col("word") != "") & (F.col("td") >= min_docs) & above).where(F.sqrt(F.greatest(ratio, F.lit(0.0))) >= min_z)
+    telling = {r["word"]: log_odds(r["t"], r["o"], all_t, all_o, prior, flat) for r in lexical.select("word", "t", "o").collect()}
+    dealt: dict[str, list[int]] = {}
+    for r in deal(by_word.where((F.col("word") != "") & ~F.col("word").endswith("*")).select("word", "t", "o"), telling).groupBy("token").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).collect():
+        dealt[r["token"]] = [r["t"], r["o"]]
+    return scored(dealt, all_t, all_o, prior, flat)
+
+
+def log_odds(t: int, o: int, all_t: int, all_o: int, prior: float, flat: float) -> float:
+    """Of a token with t of the toxic words and o of the others."""
+    alpha = prior * (t + o) / (all_t + all_o) + flat
+    odds = lambda n, total: math.log((n + alpha) / (total + prior + flat - n - alpha))
+    return odds(t, all_t) - odds(o, all_o)
+
+
+def deal(words_of: DataFrame, telling: dict[str, float]) -> DataFrame:
+    """token, t, o of every word (word, t, o) that belongs to a telling token."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            best = [max((x for x in tokens(w) if x in telling), key=telling.__getitem__, default=None) for w in batch.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(best, pa.string()), *batch.columns[1:]], names=["token", "t", "o"]).filter(pa.array([x is not None for x in best], pa.bool_()))
+
+        return work
+
+    return map_blocks(words_of, make, "token string, t long, o long", 0)
+
+
+def scored(dealt: dict[str, list[int]], all_t: int, all_o: int, prior: float, flat: float) -> Lexicon:
+    """Log ratios of the rates of words, each of which belongs to one token or to the rest."""
+    rest = [all_t - sum(t for t, _ in dealt.values()), all_o - sum(o for _, o in dealt.values())]
+    alpha = lambda t, o: prior * (t + o) / (all_t + all_o) + flat
+    added = prior + flat * (len(dealt) + 1)
+    ratio = lambda t, o: math.log((t + alpha(t, o)) / (all_t + added)) - math.log((o + alpha(t, o)) / (all_o + added))
+    return Lexicon({token: ratio(t, o) for token, (t, o) in dealt.items()}, ratio(*rest) if dealt else 0.0, 1.0)
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +194,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
                 own = words(text)
                 found = segments(own, lexicon, known)
                 scores.append(score(len(own), [s for *_, s in found], lexicon.rate))
-                passages.append([{"first": a, "end": b, "score": s} for a, b, s in found if len(own) * math.exp(-lexicon.rate * s) < 1])
+                passages.append([{"first": a, "end": b, "score": s} for a, b, s in found if math.log(len(own)) < lexicon.rate * s])
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, spans)], names=["doc_id", "score", "passages"])
 
         return work

@@ -56,3 +56,70 @@ def test_edges(spark, tmp_path):
     saved(docs.limit(0), tmp_path, "documents")
     saved(spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
     assert toxicity.op8_toxicity(spark, str(tmp_path)).count() == 0
+
+
+def plain_fit(rows, prior, flat, min_z, min_docs):
+    """rows: (text, label). Straight from the definitions, over Python lists."""
+    import math
+
+    sides = {k: [toxicity.words(t) for t, label in rows if label == k] for k in (0, 1)}
+    total = {k: sum(map(len, sides[k])) for k in sides}
+
+    def alpha(t, o):
+        return prior * (t + o) / (total[1] + total[0]) + flat
+
+    def count(k, has):
+        return sum(sum(map(has, text)) for text in sides[k]), sum(any(map(has, text)) for text in sides[k])
+
+    telling = {}
+    for token in {x for k in sides for text in sides[k] for w in text for x in toxicity.tokens(w)}:
+        (t, td), (o, od) = (count(k, lambda w: token in toxicity.tokens(w)) for k in (1, 0))  # noqa: B023
+        nt, no = len(sides[1]), len(sides[0])
+        table = [(td, nt, td + od), (od, no, td + od), (nt - td, nt, nt + no - td - od), (no - od, no, nt + no - td - od)]
+        g = 2 * sum(x * math.log(x * (nt + no) / (side * both)) for x, side, both in table if x)
+        if td >= min_docs and td / nt > od / no and math.sqrt(max(0, g)) >= min_z:
+            a = alpha(t, o)
+            odds = [math.log((n + a) / (total[k] + prior + flat - n - a)) for k, n in ((1, t), (0, o))]
+            telling[token] = odds[0] - odds[1]
+    best = lambda w: max((x for x in toxicity.tokens(w) if x in telling), key=telling.get, default=None)
+    cells = {x: [count(k, lambda w: best(w) == x)[0] for k in (1, 0)] for x in [*telling, None]}  # noqa: B023
+    cells = {x: n for x, n in cells.items() if x is None or sum(n)}
+    added = prior + flat * len(cells)
+    rates = {x: [(n + alpha(t, o)) / (total[k] + added) for k, n in ((1, t), (0, o))] for x, (t, o) in cells.items()}
+    return rates, {x: math.log(t / o) for x, (t, o) in rates.items()}
+
+
+def test_log_odds_and_lambda_equal_the_definitions(spark):
+    import math
+
+    rng = random.Random(12)
+    usual = ["house", "river", "walking", "walked", "stone", "light", "people"]
+    rows = [(" ".join(rng.choice(usual + ["vilely", "vileness", "nasty"] * (label and rng.random() < 0.8)) for _ in range(rng.randint(3, 30))), label) for label in [0, 1] * 60]
+    docs = documents(spark, list(enumerate(t for t, _ in rows)))
+    labels = spark.createDataFrame([(i, label) for i, (_, label) in enumerate(rows)], "doc_id long, toxic int")
+    for prior, flat, min_z, min_docs in ((100.0, 0.5, 3.5, 4), (5.0, 0.1, 1.0, 1)):
+        got = toxicity.fit(docs, labels, prior=prior, flat=flat, min_z=min_z, min_docs=min_docs)
+        rates, want = plain_fit(rows, prior, flat, min_z, min_docs)
+        assert got.other == pytest.approx(want.pop(None)) and got.odds == pytest.approx(want) and got.other < 0 < len(want)
+        for k in (0, 1):
+            assert sum(r[k] for r in rates.values()) == pytest.approx(1)
+        scores = {**want, None: got.other}
+        assert sum(rates[x][1] * math.exp(got.rate * s) for x, s in scores.items()) == pytest.approx(1)  # the law's lambda
+
+
+def test_score_by_hand():
+    import math
+
+    assert toxicity.score(10, [8.0, 4.0, 1.0], 1.0) == pytest.approx(math.exp(-(10**2) * math.exp(-12) / 2))
+    assert toxicity.score(100, [2.0, 1.0], 1.0) == pytest.approx(math.exp(-100 * math.exp(-2)))
+    assert toxicity.score(10**7, [1e-3], 1.0) < 1e-100 and toxicity.score(0, [], 1.0) == 0
+
+
+def test_sparse_hits_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({"bad": 2.0}, -0.6, 1.0)
+    for text in ([*["a"] * 5, "bad"] * 80_000, ["bad", "a"] * 80_000):
+        began = time.process_time()
+        assert toxicity.segments(text, lexicon)
+        assert time.process_time() - began < 2
