@@ -10,9 +10,13 @@ shingles (a rule of the block's content alone): linked sets still share one of t
 blocks within a band are the candidates.
 
 Exact copies are one class from the start. Candidates join in coarse components by stars, not pairs; the
-sets of a coarse component meet in tasks of bounded size (large ones in pairs of blocks), where the
-sketches' Hamming distance, then the sets themselves decide. What leaves such a task is a forest of its links
-and each set's number of links, not the links; without numbers, links that are implied already are skipped.
+sets of a coarse component meet in blocks of bounded size, where the
+sketches' Hamming distance, then the sets themselves decide. A component of several blocks has them stored once, as packed
+hashes; tasks of pairs of blocks read them from there, so that no text is moved or kept twice. What leaves a task is a
+forest of its links and each set's number of links, not the links; without numbers, links that are implied already,
+within a block or by its own links with the other, are skipped: a dense component is a few comparisons a pair of blocks.
+
+Shingles are 64-bit hashes: sets are equal, and links exact, but for collisions of these.
 
 Defined cases: a null, empty or wordless text has 0 shingles and links with nothing; with fewer words than a
 shingle the whole sequence is one; repeated rows are copies; rows without a doc_id get their copies'
@@ -30,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import map_blocks, shared_folder, split_by_ids, table, without_ids, written
+from orrery.llm.files import create, opened, target
 from orrery.llm.graph import components, forest
 
 CACHE_WORDS = 100_000
 #: Candidate sets meet in tasks of at most about so many shingles, or so many sets.
-GROUP_SHINGLES, GROUP_SETS = 1_000_000, 1_000
+GROUP_SHINGLES, GROUP_SETS = 1_000_000, 500
 #: A partition of signatures holds about so many bytes.
 PART_BYTES = 12 << 20
 #: Shingles in more than this share of the texts are not telling; it steers the search and changes no result.
@@ -229,93 +234,130 @@ def sketches(sets: list[np.ndarray], width: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def resolve(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """A forest of the links between positions `left` and `right` (equal arrays: within them).
+def resolve(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, copies: np.ndarray | None = None, group: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """A forest of the links between positions `left` and `right` (equal arrays: within them), and the groups that it makes.
 
-    With `copies` of each set also how many texts each is linked with; then no link is skipped as implied.
+    group: a label of each set, equal where sets are known to be connected. With `copies` of each set also how many
+    texts each is linked with; then no link is skipped as implied.
     """
-    root = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    group = np.arange(len(ids)) if group is None else np.unique(group, return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets], np.int64)
     width = 1024
     while width < 8 * int(sizes.max()) and width < 1 << 16:
         width *= 2
-    flat = sketches(sets, width) if len(ids) > 2 else None
+    flat = None
+    if len(ids) > 2 and (copies is not None or len(np.unique(group)) > 1):
+        flat = sketches(sets, width)
     out = []
     links = np.zeros(len(ids), np.int64)
     inner = left is right
-    group = np.arange(len(ids))
     for k, i in enumerate(left.tolist()):
         others = right[k + 1 :] if inner else right
-        n = sizes[i] + sizes[others]
-        ok = 100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])
-        if flat is not None and ok.any():
-            others, n = others[ok], n[ok]
-            ok = np.bitwise_count(flat[others] ^ flat[i]).sum(1, dtype=np.int64) <= (100 - percent) * n // (100 + percent)
-        others = others[ok]
         if copies is None:
             others = others[group[others] != group[i]]
+        ok = 100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])
+        others = others[ok]
+        if flat is not None and len(others):
+            n = sizes[i] + sizes[others]
+            others = others[np.bitwise_count(flat[others] ^ flat[i]).sum(1, dtype=np.int64) <= (100 - percent) * n // (100 + percent)]
         for j in others.tolist():
-            x, y = find(i), find(j)
-            if (x != y or copies is not None) and linked(sets[i], sets[j], percent):
+            new = group[i] != group[j]
+            if (new or copies is not None) and linked(sets[i], sets[j], percent):
                 if copies is not None:
                     links[i] += copies[j]
                     links[j] += copies[i]
-                if x != y:
-                    root[max(x, y)] = min(x, y)
+                if new:
                     group[group == group[j]] = group[i]
                     out.append((int(ids[i]), int(ids[j])))
-    return out, links
+    return out, links, group
+
 
+def _rows_of(found: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
 
-def verify(members: DataFrame, size: int, percent: int, count: bool) -> DataFrame:
-    """members: comp, i, j, side, doc_id, copies, text. Links between classes, by their smallest doc_id: a, b;
+
+#: Links (a, b), numbers of links (a, n), and stored blocks (comp, block, path, at, sets, hashes).
+FOUND = "a long, b long, n long, comp long, block int, path string, at long, sets long, hashes long"
+
+
+def verify(members: DataFrame, percent: int, size: int, count: bool, folder: str) -> DataFrame:
+    """members: comp, block, blocks, doc_id, copies, text. Links between classes, by their smallest doc_id: a, b;
     with count also rows of a and n, the number of texts that a is linked with in one task."""
 
-    def run(batches):
-        item, ids, sets, sides, copies, out = None, [], [], [], [], []
+    def edges(own, sets, left, right, copies, group) -> tuple[list[tuple], np.ndarray]:
+        links, n, group = resolve(own, sets, left, right, percent, copies if count else None, group)
+        none = (None,) * 6
+        return [*((a, b, None, *none) for a, b in links), *((int(own[k]), None, int(n[k]), *none) for k in np.flatnonzero(n))], group
+
+    def inside(batches):
+        item, ids, sets, copies, out, path, file = None, [], [], [], [], None, None
 
         def close():
-            if len(ids) > 1:
-                side = np.array(sides)
-                left = np.flatnonzero(side == 0)
-                right = left if item[1] == item[2] else np.flatnonzero(side == 1)
-                if len(left) and len(right):
-                    own = np.array(ids, np.int64)
-                    edges, links = resolve(own, sets, left, right, percent, np.array(copies, np.int64) if count else None)
-                    out.extend((a, b, None) for a, b in edges)
-                    out.extend((int(own[k]), None, int(links[k])) for k in np.flatnonzero(links))
-            for x in (ids, sets, sides, copies):
+            nonlocal path, file
+            if ids and (len(ids) > 1 or item[2] > 1):
+                own, n, every = np.array(ids, np.int64), np.array(copies, np.int64), np.arange(len(ids))
+                found, group = edges(own, sets, every, every, n, None)
+                out.extend(found)
+                if item[2] > 1:
+                    if file is None:
+                        path = target(folder, ".sets")
+                        file = create(path)
+                    at = file.tell()
+                    for x in (own, n, group, np.array([len(s) for s in sets], np.int64), np.concatenate(sets)):
+                        file.write(x.astype(x.dtype.newbyteorder("<")).tobytes())
+                    out.append((None, None, None, item[0], item[1], path, at, len(ids), sum(map(len, sets))))
+            for x in (ids, sets, copies):
                 x.clear()
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "n"])
-
         for batch in batches:
-            for comp, i, j, side, doc_id, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (comp, i, j) != item:
+            for comp, block, blocks, doc_id, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (comp, block, blocks) != item:
                     close()
-                    item = comp, i, j
-                if ids and ids[-1] == doc_id and sides[-1] == side:
+                    item = comp, block, blocks
+                if ids and ids[-1] == doc_id:
                     continue  # a repeated row
                 ids.append(doc_id)
-                sides.append(side)
                 copies.append(n)
                 sets.append(shingles(text, size))
             if len(out) > 10_000:
-                yield rows()
+                yield _rows_of(out)
                 out.clear()
         close()
-        yield rows()
-
-    dealt = members.select("comp", "i", "j", "side", "doc_id", "copies", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "doc_id")
-    return dealt.mapInArrow(run, "a long, b long, n long")
+        if file is not None:
+            file.close()
+        yield _rows_of(out)
+
+    def stored(path, at, n, hashes):
+        with opened(path) as file:
+            file.seek(at)
+            data = file.read(8 * (4 * n + hashes))
+        ids, copies, group, sizes = np.frombuffer(data, "<i8", 4 * n).reshape(4, n)
+        return ids, copies, group, np.split(np.frombuffer(data, "<u8", hashes, 32 * n), np.cumsum(sizes)[:-1])
+
+    def across(batches):
+        held = None, None
+        for batch in batches:
+            out = []
+            for path, at, n, hashes, *other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held[0] != (path, at):
+                    held = (path, at), stored(path, at, n, hashes)
+                a, b = held[1], stored(*other)
+                own, copies = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+                group = np.concatenate([a[2], b[2] + len(own)])  # a block's labels are below its number of sets
+                out += edges(own, [*a[3], *b[3]], np.arange(n), np.arange(n, len(own)), copies, group)[0]
+            yield _rows_of(out)
+
+    dealt = members.select("comp", "block", "blocks", "doc_id", "copies", "text").repartition("comp", "block").sortWithinPartitions("comp", "block", "doc_id")
+    found = written(dealt.mapInArrow(inside, FOUND), folder)
+    blocks = written(found.where("path is not null").select("comp", "block", "path", "at", "sets", "hashes"), folder)
+    if blocks.isEmpty():
+        return found.select("a", "b", "n")
+    last = blocks.groupBy("comp").agg(F.max("block").alias("last"))
+    second = blocks.select("comp", F.col("block").alias("with"), *[F.col(c).alias(f"{c}2") for c in ("path", "at", "sets", "hashes")])
+    pairs = blocks.join(last, "comp").where("block < last").withColumn("with", F.explode(F.sequence(F.col("block") + 1, F.col("last")))).join(second, ["comp", "with"])
+    pairs = pairs.repartition(max(1, min(10_000, pairs.count()))).sortWithinPartitions("path", "at").select("path", "at", "sets", "hashes", "path2", "at2", "sets2", "hashes2")
+    return found.where("path is null").select("a", "b", "n").unionByName(pairs.mapInArrow(across, FOUND).select("a", "b", "n"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
@@ -336,12 +378,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     members = written(classes.join(coarse, "node").select(F.col("root").alias("comp"), "rep", "n", "copies"), folder)
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / GROUP_SHINGLES), F.ceil(F.count(F.lit(1)) / GROUP_SETS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     placed = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), (F.col("block") > o).cast("int").alias("side")))
     source = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    source, _ = split_by_ids(source, "rep", members.select("rep"))
-    members = placed.select("comp", "rep", "copies", "block", "blocks").join(source, "rep")
-    members = members.select("comp", F.col("rep").alias("doc_id"), "copies", "text", F.explode(every).alias("x")).select("comp", "x.*", "doc_id", "copies", "text")
-    found = written(verify(members, size, percent, count), folder)
+    source, _ = split_by_ids(source, "rep", placed.select("rep"))
+    members = placed.select("comp", "block", "blocks", "rep", "copies").join(source, "rep").withColumnRenamed("rep", "doc_id")
+    found = written(verify(members, percent, size, count, folder).where("a is not null"), folder)
     roots = components(found.where("b is not null").select("a", "b"))
     merged = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", "rep", "copies", F.coalesce("root", "rep").alias("component_id"))
     if not count:
