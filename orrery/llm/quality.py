@@ -2,35 +2,39 @@
 
 Every text gets base counts (words, symbols, repeated lines and word windows) and, from a public
 vocabulary with byte fallback, characters per token, the share of byte-fallback tokens and the
-entropy of its tokens. Bands are Tukey fences of those measures per language and length (in octaves of
-tokens) over all documents; a text outside a band is rejected.
-
-Defined cases: a null or empty text has zero counts and fails the base rules; texts with fewer than
-`min_tokens` tokens are judged by the base rules only; with fewer than `min_group` documents of a language
-and length the bands of the language count, then those of the script; repeated rows are judged alike, row by row.
+entropy of its tokens; characters per token also from a second, byte-level vocabulary. Bands are Tukey fences of those
+measures per language and length (in octaves of tokens) over all documents, whatever their length; a text outside a band
+is rejected, one on a fence isn't.
+
+Defined cases: a null or empty text has zero counts, no measures, and fails the base rules; with fewer than `min_group`
+documents of a language and length the bands of that length in the script count, then those of the language, then those
+of the script; a long text is tokenised as a whole; repeated rows are judged alike, row by row; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.bpe import CACHE_PIECES, ranks
 from orrery.llm.common import map_blocks, table, written
+from orrery.llm.pretokens import distinct, slices
 
 SYMBOLS = "#*$%&|<>"
-MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+MEASURES = ("chars_per_token", "byte_share", "token_entropy", "chars_per_byte_token")
 SCHEMA = (
     "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+    "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, chars_per_byte_token double"
 )
-_SCRIPTS = (
-    ("cyrillic", 0x0400, 0x052F), ("greek", 0x0370, 0x03FF), ("arabic", 0x0600, 0x06FF), ("hebrew", 0x0590, 0x05FF),
-    ("devanagari", 0x0900, 0x097F), ("han", 0x4E00, 0x9FFF), ("kana", 0x3040, 0x30FF), ("hangul", 0xAC00, 0xD7AF),
-)
+#: Letters that no script of their own has in Unicode names, by what such names begin with.
+_HAN = ("CJK", "KANGXI")
 
 
 def repeat_words(words: list[bytes], size: int = 3) -> int:
@@ -72,14 +76,35 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
+@functools.cache
+def _scripts() -> tuple[np.ndarray, list[str]]:
+    """A number of every code point, and the scripts by number: the first word of a letter's Unicode name; 0 is no letter."""
+    names, table = [""], np.zeros(sys.maxunicode + 1, np.uint16)
+    numbers = {"": 0}
+    for point in range(sys.maxunicode + 1):
+        c = chr(point)
+        if c.isalpha():
+            name = unicodedata.name(c, "UNKNOWN").partition(" ")[0].partition("-")[0].lower()
+            name = "han" if name.upper() in _HAN else name
+            if name not in numbers:
+                numbers[name] = len(names)
+                names.append(name)
+            table[point] = numbers[name]
+    return table, names
+
+
 def script(text: str) -> str:
-    """The script of most letters; latin if in doubt."""
-    if text.isascii():
+    """The script of most letters, the first by name of several; latin for a text of Latin-1 or without letters."""
+    try:
+        text.encode("latin-1")
         return "latin"
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    counts = {name: int(((points >= a) & (points <= b)).sum()) for name, a, b in _SCRIPTS}
-    best = max(counts, key=counts.__getitem__)
-    return best if 2 * counts[best] > len(points) - text.count(" ") else "latin"
+    except UnicodeEncodeError:
+        pass
+    table, names = _scripts()
+    counts = np.bincount(table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=len(names))
+    counts[0] = 0
+    best = [n for n, c in zip(names, counts.tolist(), strict=True) if c == counts.max()]
+    return min(best) if counts.any() else "latin"
 
 
 @functools.cache
@@ -90,25 +115,56 @@ def _pieces(path: str):
     return model, np.array([model.is_byte(i) for i in range(model.vocab_size())])
 
 
-def fertility(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+class _Sizes(dict):
+    """Tokens of a piece of text in a byte-level vocabulary; emptied when it has CACHE_PIECES."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        import tiktoken
+
+        # pieces come ready cut, so that the pattern isn't used
+        self.solve = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks(path), special_tokens={})._encode_single_piece
+
+    def __missing__(self, piece: bytes) -> int:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        self[piece] = n = len(self.solve(piece))
+        return n
+
+    def of(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each whole text."""
+        data, at, first = slices(texts)
+        one, which = distinct(data, at)
+        n = np.fromiter(map(self.__getitem__, [data[a:b] for a, b in zip(at[one].tolist(), at[one + 1].tolist(), strict=True)]), np.int64, len(one))
+        return np.diff(np.append(0, np.cumsum(n[which]))[first]).tolist()
+
+
+@functools.cache
+def _sizes(path: str) -> _Sizes:
+    return _Sizes(path)
+
+
+def fertility(docs: DataFrame, vocabulary: str, byte_vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts and token measures of every whole text."""
 
     def make():
         model, is_byte = _pieces(vocabulary)
+        bytewise = byte_vocabulary and _sizes(byte_vocabulary)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for text in batch.column(1).to_pylist():
+            rows, texts = [], batch.column(1).to_pylist()
+            sizes = bytewise.of(texts) if byte_vocabulary else [0] * len(texts)
+            for text, size in zip(texts, sizes, strict=True):
                 text = text or ""
                 ids = np.asarray(model.encode(text, num_threads=1), np.int64)
                 n = len(ids)
                 if n:
                     share = np.unique(ids, return_counts=True)[1] / n
-                    measures = (len(text) / n, float(is_byte[ids].mean()), float(-(share * np.log2(share)).sum()))
+                    measures = (len(text) / n, float(is_byte[ids].mean()), float(-(share * np.log2(share)).sum()), len(text) / size if size else None)
                 else:
-                    measures = (None, None, None)
+                    measures = (None,) * len(MEASURES)
                 rows.append((script(text), *base_counts(text), n, *measures))
-            kinds = [pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 3]
+            kinds = [pa.string(), *[pa.int64()] * 6, *[pa.float64()] * len(MEASURES)]
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
@@ -118,13 +174,13 @@ def fertility(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     return map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), make, SCHEMA)
 
 
-def bands(measured: DataFrame, by: str, spread: float, min_tokens: int) -> DataFrame:
+def bands(measured: DataFrame, by: str, spread: float) -> DataFrame:
     """Tukey fences per group over all documents; quantile sketches merge, so no group meets in one task."""
     at = F.array(F.lit(0.25), F.lit(0.75))
     aggs = [F.count(F.lit(1)).alias("n")]
     for m in MEASURES:
-        aggs.append(F.percentile_approx(m, at, 1_000).alias(m))
-    out = measured.where((F.col("n_tokens") >= min_tokens) & F.col(by).isNotNull()).groupBy(F.col(by).alias("group")).agg(*aggs)
+        aggs.append(F.percentile_approx(m, at, 10_000).alias(m))
+    out = measured.where((F.col("n_tokens") > 0) & F.col(by).isNotNull()).groupBy(F.col(by).alias("group")).agg(*aggs)
     for m in MEASURES:
         low, high = F.col(m)[0], F.col(m)[1]
         out = out.withColumn(f"{m}_low", low - spread * (high - low)).withColumn(f"{m}_high", high + spread * (high - low)).drop(m)
@@ -132,33 +188,31 @@ def bands(measured: DataFrame, by: str, spread: float, min_tokens: int) -> DataF
 
 
 def quality_rules(
-    docs: DataFrame, vocabulary: str, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 3.0, min_tokens: int = 100, min_group: int = 50,
+    docs: DataFrame, vocabulary: str, byte_vocabulary: str | None = None, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 3.0, min_group: int = 50,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """Counts, measures, bands and verdict of every row. `spread` is the fence in interquartile ranges."""
-    measured = written(fertility(docs, vocabulary, id_col, text_col, lang_col))
+    measured = written(fertility(docs, vocabulary, byte_vocabulary, id_col, text_col, lang_col))
     octave = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")))  # entropy grows with a text's length
-    measured = measured.withColumn("sized", F.when(F.col("lang").isNotNull(), F.concat_ws(":", octave, "lang")))
-    # written, so that their true size decides whether they are broadcast or met by a (splittable) shuffle
-    by_size = written(bands(measured, "sized", spread, min_tokens).where(F.col("n") >= min_group))
-    by_lang = written(bands(measured, "lang", spread, min_tokens).where(F.col("n") >= min_group))
-    by_script = written(bands(measured, "script", spread, min_tokens))
+    measured = measured.withColumn("sized", F.when(F.col("lang").isNotNull(), F.concat_ws(":", octave, "lang"))).withColumn("drawn", F.concat_ws(":", octave, "script"))
     fences = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
     out = measured
-    for key, own, prefix in (("sized", by_size, "z"), ("lang", by_lang, "l"), ("script", by_script, "s")):
+    groups = {"sized": "z", "drawn": "d", "lang": "l", "script": "s"}
+    for key, prefix in groups.items():  # written, so that their true size decides whether they are broadcast or met by a (splittable) shuffle
+        own = bands(measured, key, spread)
+        own = written(own if key == "script" else own.where(F.col("n") >= min_group))
         out = out.join(own.select(F.col("group").alias(key), *[F.col(x).alias(f"{prefix}_{x}") for x in fences]), key, "left")
     ok = F.lit(True)
     for m in MEASURES:
-        low, high = (F.coalesce(*[F.col(f"{p}_{m}_{side}") for p in "zls"]) for side in ("low", "high"))
+        low, high = (F.coalesce(*[F.col(f"{p}_{m}_{side}") for p in groups.values()]) for side in ("low", "high"))
         fine = F.col(m).between(low, high) if m != "byte_share" else F.col(m) <= F.greatest(high, F.lit(0.05))
         ok = ok & F.coalesce(fine, F.lit(True))
-    ok = ok | (F.col("n_tokens") < min_tokens)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("fertility_ok", ok).withColumn("kept", ~failed & ok).drop("sized", *[f"{p}_{x}" for p in "zls" for x in fences])
+    return out.withColumn("base_failed", failed).withColumn("fertility_ok", ok).withColumn("kept", ~failed & ok).drop("sized", "drawn", *[f"{p}_{x}" for p in groups.values() for x in fences])
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy")
+    out = quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy", "chars_per_byte_token")
