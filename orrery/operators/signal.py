@@ -3,6 +3,8 @@
 Bins come in NumPy's order; fft is not scaled, ifft by 1/n. A group's signal is transformed in one task. One long
 signal goes in four steps over the cluster where its length has a factor: n = a * b gives b transforms of
 length a, twiddle factors, and a transforms of length b, so that no task holds more than about max(a, b) values.
+Where no factor makes both short (a prime length, say), Bluestein's chirps turn the transform into a
+convolution over a power of two, which has such factors.
 """
 
 from __future__ import annotations
@@ -56,8 +58,7 @@ def _transform(df: DataFrame, column: str, order_by: str | list[str], group_by:
         return rows.groupBy("g").applyInPandas(whole, f"g {kind}, {OUT}").withColumnRenamed("g", group_by)
     n = df.count()
     rows = row_index(df.select(*order, *_values(df, column)), order, "at").select("at", "real", "imag")
-    a = _split(n) if n > one_task else 1
-    if a == 1:
+    if n <= one_task:
 
         def one(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("at")
@@ -65,13 +66,21 @@ def _transform(df: DataFrame, column: str, order_by: str | list[str], group_by:
             return pd.DataFrame({"bin": np.arange(len(y)), "real": y.real, "imag": y.imag})
 
         return rows.groupBy().applyInPandas(one, OUT)
+    out = _four_steps(rows, n, sign) if n // _split(n) <= one_task else _chirps(rows, n, sign)
+    return out.select("bin", F.col("real") / n, F.col("imag") / n).toDF("bin", "real", "imag") if inverse else out
+
+
+def _four_steps(rows: DataFrame, n: int, sign: int) -> DataFrame:
+    """The unscaled transform of rows (at, real, imag) for every at below n."""
+    a = _split(n)
     b = n // a
+    f = (lambda x: np.fft.ifft(x) * len(x)) if sign > 0 else np.fft.fft
 
     def columns(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("at")
         j = int(part["at"].iloc[0]) % b
         k = np.arange(a)
-        y = f(part["real"].to_numpy() + 1j * part["imag"].to_numpy()) * np.exp(sign * 2j * np.pi * j * k / n)
+        y = f(part["real"].to_numpy() + 1j * part["imag"].to_numpy()) * np.exp(sign * 2j * np.pi * (j * k % n) / n)
         return pd.DataFrame({"k": k, "j": j, "real": y.real, "imag": y.imag})
 
     def across(part: pd.DataFrame) -> pd.DataFrame:
@@ -83,6 +92,31 @@ def _transform(df: DataFrame, column: str, order_by: str | list[str], group_by:
     return first.groupBy("k").applyInPandas(across, OUT)
 
 
+def _times(a: tuple, b: tuple) -> list:
+    """The product of two complex numbers, each a pair of columns."""
+    return [(a[0] * b[0] - a[1] * b[1]).alias("real"), (a[0] * b[1] + a[1] * b[0]).alias("imag")]
+
+
+def _chirps(rows: DataFrame, n: int, sign: int) -> DataFrame:
+    """The unscaled transform of any length: j * k = (j^2 + k^2 - (k - j)^2) / 2 makes it a convolution."""
+    m = 1 << (2 * n - 2).bit_length()
+    own = F.col("real"), F.col("imag")
+
+    def chirp(at, direction: int) -> tuple:
+        angle = (at * at % (2 * n)).cast("double") * (direction * math.pi / n)  # exact before it is an angle
+        return F.cos(angle), F.sin(angle)
+
+    spark = rows.sparkSession
+    padding = spark.range(n, m).select(F.col("id").alias("at"), F.lit(0.0).alias("real"), F.lit(0.0).alias("imag"))
+    signal = rows.select("at", *_times(own, chirp(F.col("at"), sign))).unionByName(padding)
+    near = F.least(F.col("id"), m - F.col("id"))
+    kernel = spark.range(m).select(F.col("id").alias("at"), *[F.when(near < n, x).otherwise(0.0).alias(name) for x, name in zip(chirp(near, -sign), ("real", "imag"), strict=True)])
+    x, y = _four_steps(signal, m, -1), _four_steps(kernel, m, -1).toDF("bin", "re2", "im2")
+    both = x.join(y, "bin").select(F.col("bin").alias("at"), *_times(own, (F.col("re2"), F.col("im2"))))
+    back = _four_steps(both, m, 1).where(F.col("bin") < n).select("bin", F.col("real") / m, F.col("imag") / m).toDF("bin", "real", "imag")
+    return back.select("bin", *_times(own, chirp(F.col("bin"), sign)))
+
+
 def fft(df: DataFrame, column: str, order_by: str | list[str], group_by: str | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """bin, real, imag (and the group)."""
     return _transform(df, column, order_by, group_by, False, one_task)

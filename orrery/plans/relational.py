@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from orrery.functions import scalar
 from orrery.operators import agg, frame, joins, temporal
 from orrery.plans.catalog import query
+from orrery.sources import tables
 from orrery.sources.tables import load
+from orrery.storage import shared_folder
 
 KEYS = ["l_orderkey", "l_linenumber"]
 X, D = "l_extendedprice / 10000", "l_discount * 10"
@@ -174,10 +176,10 @@ def sort_multi(spark, sf_dir):
     return frame.sort(load(spark, sf_dir, "orders"), ["o_orderstatus", "o_totalprice", "o_orderkey"], [False, True, False]).select("o_orderkey", "o_orderstatus")
 
 
-@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN value END AS x FROM events) SELECT event_id, x FROM e ORDER BY x DESC NULLS FIRST, event_id LIMIT 2000""")
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN value END AS x FROM events) SELECT event_id, x FROM e ORDER BY x DESC NULLS FIRST, event_id""")
 def sort_nulls_first(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("x"))
-    return frame.sort(rows, ["x", "event_id"], [True, False]).limit(2000)
+    return frame.sort(rows, ["x", "event_id"], [True, False])
 
 
 @query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice IS NOT NULL ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
@@ -249,10 +251,10 @@ def join_cross(spark, sf_dir):
     return load(spark, sf_dir, "region").crossJoin(load(spark, sf_dir, "nation")).select("r_name", "n_name")
 
 
-@query("""WITH b AS (SELECT p_partkey, p_size * 1000.0 AS lo, p_size * 1000.0 + 500 AS hi FROM part WHERE p_partkey < 100)
+@query("""WITH b AS (SELECT p_partkey, p_size * 1000.0 AS lo, p_size * 1000.0 + 500 AS hi FROM part)
 SELECT o_orderkey, p_partkey FROM orders JOIN b ON o_totalprice >= lo AND o_totalprice < hi""")
 def range_join(spark, sf_dir):
-    spans = load(spark, sf_dir, "part").where("p_partkey < 100").select("p_partkey", (F.col("p_size") * 1000.0).alias("lo"), (F.col("p_size") * 1000.0 + 500).alias("hi"))
+    spans = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 1000.0).alias("lo"), (F.col("p_size") * 1000.0 + 500).alias("hi"))
     return joins.range_join(load(spark, sf_dir, "orders"), spans, "o_totalprice", "lo", "hi", 1000.0).select("o_orderkey", "p_partkey")
 
 
@@ -345,9 +347,9 @@ def list_functions(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", F.size(e).alias("n"), F.round(e[0], 5).alias("first"), F.round(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size(F.filter(e, lambda x: x > 0)).alias("pos"))
 
 
-@query("SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, round(unnest(embedding)::DOUBLE, 5) AS x FROM embeddings WHERE vec_id < 20")
+@query("SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, round(unnest(embedding)::DOUBLE, 5) AS x FROM embeddings")
 def explode_lists(spark, sf_dir):
-    return load(spark, sf_dir, "embeddings").where("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 5).alias("x"))
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query("SELECT event_type, round(avg(CAST(json_extract_string(props, '$.' || json_keys(props)[1]) IS NOT NULL AS INTEGER)), 4) AS filled, count(*) AS n FROM events GROUP BY 1")
@@ -371,3 +373,26 @@ def fused_chain_reduce(spark, sf_dir):
     rows = frame.where(load(spark, sf_dir, "lineitem"), F.col("l_quantity") > 5)
     out = agg.reduce(rows, v=("std", -F.abs(F.sin(_x())) * F.cos(_d())), m=("mean", F.tanh(F.col("l_discount"))))
     return out.select(F.round("v", 6).alias("v"), F.round("m", 6).alias("m"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * l_quantity AS q2, 7 AS seven, 2.5::DOUBLE * 2 AS five FROM lineitem")
+def square_and_literals(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"])
+    return frame.with_columns(rows, q2=scalar.square(F.col("l_quantity")), seven=F.lit(7), five=F.lit(2.5) * 2).drop("l_quantity")
+
+
+def _through(kind):
+    """Customers written to shared storage in a format and read again with the same schema."""
+
+    def f(spark, sf_dir):
+        rows = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+        path = f"{shared_folder(spark)}/customer.{kind}"
+        tables.write(rows, path, kind)
+        return spark.read.schema(rows.schema).format(kind).load(path)
+
+    f.__name__ = f"{kind}_round_trip"
+    query("SELECT c_custkey, c_name, c_nationkey FROM customer")(f)
+
+
+for _kind in ("csv", "json", "parquet"):
+    _through(_kind)

@@ -17,17 +17,19 @@ def _events(spark, sf_dir):
     return load(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
 
 
-def _rolling(name: str, digits: int, call: str, window: int = 10):
+def _rolling(name: str, digits: int, call: str, window: int = 10, suffix: str = ""):
     def f(spark, sf_dir):
         return ordered.rolling(_events(spark, sf_dir), "value", window, ORDER, {"v": name}).select("event_id", F.round("v", digits).alias("v"))
 
-    f.__name__ = f"rolling_{name}"
+    f.__name__ = f"rolling_{name}{suffix}"
     w = f"OVER ({BY} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
     query(f"SELECT event_id, CASE WHEN count(value) {w} >= {window} THEN round({call}(value) {w}, {digits}) END AS v FROM events")(f)
 
 
 for _name, _digits, _call in (("sum", 3, "sum"), ("mean", 4, "avg"), ("var", 6, "var_samp"), ("std", 6, "stddev_samp"), ("min", 4, "min"), ("max", 4, "max")):
     _rolling(_name, _digits, _call)
+for _name, _digits, _call in (("mean", 7, "avg"), ("std", 6, "stddev_samp")):
+    _rolling(_name, _digits, _call, 1000, "_1000")
 
 
 @query(f"""SELECT event_id, CASE WHEN count(value) OVER w >= 5 THEN round(avg(value) OVER w, 4) END AS v FROM events

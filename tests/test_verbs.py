@@ -157,3 +157,37 @@ def test_plans(spark, sf):
 def test_calendar_before_the_epoch(spark):
     r = spark.sql("SELECT timestamp_ntz'1969-12-31 23:00:00' t").select(temporal.field(F.col("t"), "year"), temporal.field(F.col("t"), "day"), temporal.days(F.col("t"))).first()
     assert tuple(r) == (1969, 31, -1)
+
+
+def test_asof_in_ranges_and_with_ties(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    left = [(int(i), float(t)) for i, t in enumerate(np.round(rng.random(300) * 50, 1))]
+    right = [(float(t), int(v)) for t, v in zip(np.round(rng.random(120) * 50, 0), rng.integers(0, 1000, 120), strict=True)]
+    want = {i: max(((t, v) for t, v in right if t <= at), default=(0, None))[1] for i, at in left}
+    a, b = spark.createDataFrame(left, "i long, t double"), spark.createDataFrame(right, "t double, v long")
+    for rows in (1_000_000, 20):
+        monkeypatch.setattr(joins, "SLICE_ROWS", rows)
+        assert {r.i: r.v for r in joins.asof_join(a, b, "t", ["v"]).collect()} == want
+        assert joins.asof_join(a.limit(0), b, "t", ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 97, 202, 331])
+def test_transform_of_any_length(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double")
+    got = sorted(signal.fft(rows, "v", "i", one_task=20).collect())
+    assert np.allclose([r.real + 1j * r.imag for r in got], np.fft.fft(x))
+    back = signal.ifft(signal.fft(rows, "v", "i", one_task=20).selectExpr("bin", "struct(real, imag) z"), "z", "bin", one_task=20)
+    assert np.allclose([r.real for r in sorted(back.collect())], x)
+
+
+def test_products(spark):
+    rng = np.random.default_rng(7)
+    a, m = rng.normal(size=(40, 6)), rng.normal(size=(6, 4))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(a)], "id long, v array<double>")
+    matrix = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "row long, vector array<double>")
+    for limit in (vector.MATRIX_BYTES, 0):
+        got = sorted(vector.matmul(rows, matrix, "id", "v", matrix_bytes=limit).collect())
+        assert np.allclose([r["product"] for r in got], a @ m)
+    assert np.allclose([r.value for r in sorted(vector.gram(rows, "v").collect())], (a.T @ a).ravel())
+    assert vector.matmul(rows.limit(0), matrix, "id", "v").count() == 0 and vector.gram(rows.limit(0), "v").count() == 0
