@@ -4,7 +4,7 @@ write_warc() lays down one archive a partition. Of records with equal payloads o
 bytes, that of the largest page id is a response and the others revisit it. read_warc() loads the
 dictionary from the leading frame, decodes frame by frame and checks version, headers, lengths, digests.
 
-Defined cases: a null payload is an empty one; a null url has a placeholder URI; records with a null
+Defined cases: a null payload is an empty one; a null url has a placeholder URI; a url that is no URI (spaces, letters beyond ASCII) comes back as it was; records with a null
 page id revisit if another page has their payload; repeated rows of the largest page id are all
 responses; an empty table gives no archive and no rows.
 """
@@ -15,7 +15,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +52,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("WARC-Block-Digest", f"sha1:{digest(block)}"),
         ("X-Payload-Length", str(len(payload))),
     ]
+    if url is not None and fields[3][1] != url or url == NO_URI:
+        fields.append(("X-Original-URL", quote(url, safe="")))  # reversible, as the URI isn't
     if revisit:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -65,8 +67,6 @@ def _page(uri: str) -> int | None:
 
 def parse(data: bytes) -> dict:
     """Checks and reads one record."""
-    from urllib.parse import unquote
-
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if lines[0] != VERSION:
@@ -95,8 +95,9 @@ def parse(data: bytes) -> dict:
     elif kind != "revisit" or "warc-refers-to" not in fields:
         raise ValueError(f"{fields['warc-record-id']}: type {kind} is not read here, or refers to nothing")
     uri = fields.get("warc-target-uri", NO_URI)
+    url = unquote(fields["x-original-url"], errors="strict") if "x-original-url" in fields else None if uri == NO_URI else uri
     return {
-        "page_id": _page(fields["warc-record-id"]), "url": None if uri == NO_URI else unquote(uri) if not uri.isascii() else uri, "payload": payload, "payload_bytes": size,
+        "page_id": _page(fields["warc-record-id"]), "url": url, "payload": payload, "payload_bytes": size,
         "payload_digest": stated.removeprefix("sha1:"), "record_type": kind, "refers_to": _page(fields["warc-refers-to"]) if kind == "revisit" else None,
     }
 

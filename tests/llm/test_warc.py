@@ -51,3 +51,9 @@ def test_broken_archives(tmp_path):
     with create(path) as out:
         out.write(zstandard.compress(good) * 2)  # no dictionary frame
     assert len(list(warc.frames(path))) == 2
+
+
+def test_urls_come_back_as_written():
+    for url in ("http://b/ x", "http://b/%20x", " http://b ", "http://é.de/ü?ö#ä", "", warc.NO_URI, "a\r\nb: c", "http://x/%E9%", None, "http://a/b?c=d"):
+        assert warc.parse(warc.record(1, url, b"x", None))["url"] == url
+        assert warc.parse(warc.record(1, url, b"x", 2))["url"] == url
