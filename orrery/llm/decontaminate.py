@@ -7,7 +7,8 @@ STRIDE-th for a document. Any run of RUN = WINDOW + STRIDE - 1 equal tokens hold
 the hash join finds every such run. Windows of the tokens as they are, with the same stride, find verbatim
 runs whatever their placeholders. A hit fixes how document and item line up; then every run of equal
 tokens is judged: a slot's value in the item must always stand for one value in the document, and the run needs
-TELLING words besides placeholders. A verbatim run counts by itself, in whatever run it lies, if it has a word:
+TELLING words besides placeholders. Capitalised words that start a sentence on both sides may be names as well: runs are
+judged once with them as slots, once as words. A verbatim run counts by itself, in whatever run it lies, if it has a word:
 a run of all placeholders tells nothing. Items shorter than RUN tokens must occur whole; they have
 windows of SHORT tokens at every place.
 
@@ -62,6 +63,12 @@ def template(text: Column) -> Column:
     return _tokens(out)
 
 
+def starts(text: Column) -> Column:
+    """Whether a token is a capitalised word at the start of a sentence, one for one with plain()."""
+    marked = F.regexp_replace(_parted(text), r"(?<=^|[.!?]\s|[.!?][\"')]\s|\n)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "S0")
+    return F.transform(_tokens(marked), lambda x: x == "s0")
+
+
 def _windows(tokens: Column, size: int, stride: int) -> Column:
     """Structs (at, hash) of the windows at every stride-th token."""
     last = F.size(tokens) - size
@@ -115,8 +122,9 @@ def _runs(facing: Column, here: Callable[[Column], Column], least: Column) -> Co
     return F.transform(F.aggregate(ends, zero, step, lambda acc: acc["out"]), lambda r: F.slice(facing, r["start"] + 1, r["end"] - r["start"]))
 
 
-def _consistent(run: Column) -> Column:
-    slots = F.array_distinct(F.transform(F.filter(run, lambda t: _is_slot(t["b"])), lambda t: F.struct(F.concat_ws(":", t["b"], t["y"]).alias("item"), t["x"].alias("doc"))))
+def _consistent(run: Column, slot: Callable[[Column], Column]) -> Column:
+    name = lambda t: F.concat_ws(":", F.when(_is_slot(t["b"]), t["b"]).otherwise(NAME_SLOT), t["y"])
+    slots = F.array_distinct(F.transform(F.filter(run, slot), lambda t: F.struct(name(t).alias("item"), t["x"].alias("doc"))))
     return F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda s: s["item"])))
 
 
@@ -125,7 +133,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_items: int = 20_
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    items = items.select("item_id", template(F.col("text")).alias("template"), plain(F.col("text")).alias("plain"))
+    items = items.select("item_id", template(F.col("text")).alias("template"), plain(F.col("text")).alias("plain"), starts(F.col("text")).alias("starts"))
     items = written(items.where(F.size("template") >= SHORT), folder)
     sizes = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.size("template") < RUN).cast("long")), F.lit(0)).alias("short"), F.coalesce(F.sum(F.size("template")), F.lit(0)).alias("tokens")).first()
     small = sizes["tokens"] <= 50 * broadcast_items  # 24 bytes a window: 24 MB at most
@@ -134,19 +142,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_items: int = 20_
         found = found.unionByName(_candidates(rows, items.where(F.size("template") < RUN), SHORT, 1, small))
     found = written(found.distinct(), folder)
     maybe, _ = split_by_ids(rows, "doc_id", found.select("doc_id"))
-    texts = maybe.select(F.col("doc_id").alias("own_id"), template(F.col("text")).alias("own"), plain(F.col("text")).alias("own_plain"))
+    texts = maybe.select(F.col("doc_id").alias("own_id"), template(F.col("text")).alias("own"), plain(F.col("text")).alias("own_plain"), starts(F.col("text")).alias("own_starts"))
     pairs = found.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id"))).join(items, "item_id")
     first = F.greatest(F.col("shift"), F.lit(0))
     last = F.least(F.size("own"), F.col("shift") + F.size("template"))
     cut = lambda c, start: F.slice(c, start + 1, last - first)
     there, here = first, first - F.col("shift")
-    facing = F.zip_with(F.zip_with(cut("own", there), cut("template", here), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.zip_with(cut("own_plain", there), cut("plain", here), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p, q: F.struct(p["a"].alias("a"), p["b"].alias("b"), q["x"].alias("x"), q["y"].alias("y")))
+    side = lambda tokens, plain, marks, start: F.arrays_zip(cut(tokens, start).alias("t"), cut(plain, start).alias("p"), cut(marks, start).alias("s"))
+    meet = lambda d, i: F.struct(d["t"].alias("a"), i["t"].alias("b"), d["p"].alias("x"), i["p"].alias("y"), (d["s"] & i["s"]).alias("opens"))
+    facing = F.zip_with(side("own", "own_plain", "own_starts", there), side("template", "plain", "starts", here), meet)
     pairs = pairs.select("doc_id", "item_id", F.size("template").alias("item_tokens"), F.transform(facing, lambda t, i: t.withField("i", i)).alias("facing"))
     long_enough = F.least(F.lit(RUN), F.col("item_tokens"))
-    words = lambda r: F.size(F.filter(r, lambda t: ~_is_slot(t["b"])))
-    alike = F.filter(_runs(F.col("facing"), lambda t: (t["a"] == t["b"]) | (t["x"] == t["y"]), long_enough), lambda r: (words(r) >= TELLING) & _consistent(r))
-    exact = F.filter(_runs(F.col("facing"), lambda t: t["x"] == t["y"], long_enough), lambda r: words(r) > 0)
-    changed = lambda r: F.size(F.filter(r, lambda t: _is_slot(t["b"]) & (t["x"] != t["y"])))
+    slot, named = lambda t: _is_slot(t["b"]), lambda t: _is_slot(t["b"]) | t["opens"]
+    same = lambda t: (t["a"] == t["b"]) | (t["x"] == t["y"])
+    words = lambda r, slot: F.size(F.filter(r, lambda t: ~slot(t)))
+    fits = lambda here, slot: F.filter(_runs(F.col("facing"), here, long_enough), lambda r: (words(r, slot) >= TELLING) & _consistent(r, slot))
+    alike = F.concat(fits(same, slot), F.when(F.exists("facing", lambda t: t["opens"] & (t["x"] != t["y"])), fits(lambda t: same(t) | t["opens"], named)).otherwise(F.array()))
+    exact = F.filter(_runs(F.col("facing"), lambda t: t["x"] == t["y"], long_enough), lambda r: words(r, slot) > 0)
+    changed = lambda r: F.size(F.filter(r, lambda t: named(t) & (t["x"] != t["y"])))
     judged = F.transform(F.concat(alike, exact), lambda r: F.struct(F.size(r).alias("run"), (-changed(r)).alias("kept")))
     matches = pairs.select("doc_id", "item_id", "item_tokens", F.array_max(judged).alias("own")).where(F.col("own").isNotNull())
     matches = matches.select("doc_id", "item_id", F.col("own.run").alias("run"), "item_tokens", (-F.col("own.kept")).alias("slots_changed"))

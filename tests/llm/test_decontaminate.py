@@ -65,3 +65,31 @@ def test_equals_thirteen_token_overlap(spark):
         w = tokens(r.text)
         want |= {(r.doc_id, i) for k in range(len(w) - 12) for i in grams.get(tuple(w[k : k + 13]), ())}
     assert {(r.doc_id, r.item_id) for r in decontaminate.op4_decontaminate(spark, sf).collect()} == want and want
+
+
+def test_names_at_sentence_starts(spark):
+    items = [(1, "Tom bought 3 red apples. Tom ate 2 of them."), (2, "What is left of the 12 old coins in the box?")]
+    texts = [
+        (1, "Well. Anna bought 7 red apples. Anna ate 5 of them."), (2, "Well. Anna bought 7 red apples. Peter ate 5 of them."), (3, "Well. anna bought 7 red apples. Anna ate 5 of them."),
+        (4, "Which is left of the 13 old coins in the box?"), (5, "x what is left of the 13 old coins in the box?"), (6, "Tom bought 3 red apples. Tom ate 2 of them."),
+    ]
+    assert leaks(spark, texts, items) == [(1, 1, 10, 4), (4, 2, 11, 2), (5, 2, 11, 1), (6, 1, 10, 0)]
+
+
+def test_verbatim_runs_at_every_offset(spark):
+    """Copies of 13 tokens of any mix of words and numbers, behind any number of other words, against a plain scan."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["what", "is", "sum", "of", "Boston", "km", "and", "12", "7", "3.5", "1,250", "apples"])
+    items = [(k, " ".join(word() for _ in range(rng.choice([13, 14, 18, 30])))) for k in range(12)]
+    texts, want = [], set()
+    for k, item in items:
+        tokens = item.split()
+        for offset in range(12):
+            a = rng.randint(0, len(tokens) - 13)
+            texts.append((100 * k + offset, " ".join([*["zz"] * offset, *tokens[a : a + 13], "yy yy"])))
+            if not all(re.fullmatch(r"[\d.,]+", t) for t in tokens[a : a + 13]):
+                want.add((100 * k + offset, k))
+    got = {(d, i) for d, i, *_ in leaks(spark, texts, items)}
+    assert want <= got and {d for d, _ in got} <= {d for d, _ in texts}
