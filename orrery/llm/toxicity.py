@@ -3,7 +3,7 @@
 Tokens are words and their stems (prefixes of 4 to 7 letters). They get log-odds of toxic against other
 labelled documents under an informative Dirichlet prior (the pooled counts, scaled to `prior` words, plus `flat`
 of each). Tokens of at least `min_docs` toxic documents whose document shares differ by a likelihood-ratio z-score of
-`min_z` form the lexicon. A word belongs to its most telling token, every other word to one class of the rest; with the
+`min_z` form the lexicon; by default that is the score which chance lets `false_tokens` of all tokens tested reach. A word belongs to its most telling token, every other word to one class of the rest; with the
 words so dealt, each token's and the rest's rates in both classes are counted again, and their log ratio under the same
 prior is the score of a word. The rest's score is negative.
 
@@ -13,7 +13,9 @@ scores are log ratios of rates that add up to 1 in both classes, lambda is 1. Fo
 E = n^r * exp(-lambda * sum of S) / r! such sets. A text's score is exp(-E) of its segments with less than one by chance
 (of its highest one if there is none): the probability that chance alone has no such passages.
 
-Fitting reads at most `per_class` labelled documents of each class, those of the smallest hash of their id.
+Fitting reads at most `per_class` labelled documents of each class, those of the smallest hash of their id. Copies are no
+further evidence: a document that shares COPY_SHARE or more of its SKETCH smallest shingle hashes with one taken before
+is left out.
 Defined cases: null, empty and wordless texts score 0; no labels, or none of a class, give an empty lexicon and scores of 0;
 repeated rows are scored each; labels that are null are left out; a document with contradicting labels counts as toxic;
 a long text takes time in proportion to its length, wherever its telling words lie; other columns play no part.
@@ -23,17 +25,23 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
+from statistics import NormalDist
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import held_out, map_blocks, table, written
+from orrery.llm.jaccard import shingles
 
 THRESHOLD = 0.7
 STEMS = (7, 6, 5, 4)
 CACHE_WORDS = 150_000
+#: Shingles of so many words; a text's smallest hashes of them; and how many two copies have in common.
+SHINGLE, SKETCH, COPY_SHARE = 3, 16, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -105,12 +113,15 @@ def score(n: int, scores: list[float], rate: float) -> float:
     return math.exp(-math.exp(min(6.0, len(high) * math.log(n) - rate * sum(high) - math.lgamma(len(high) + 1))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float = 100.0, flat: float = 0.5, min_z: float = 3.5, min_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float = 100.0, flat: float = 0.5, min_z: float | None = None, min_docs: int = 4, false_tokens: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """The lexicon from labelled documents. What comes to the driver is bounded by the sample."""
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     parts = [ids.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * per_class rows of 12 bytes
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(sample, "doc_id").select("label", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(sample, "doc_id").withColumn("row", F.monotonically_increasing_id())
+    texts = written(texts.select("label", "text", "row"))
+    alone = [(row,) for row in taken([(r["row"], r["sketch"]) for r in sketched(texts).orderBy("row").collect()])]  # SKETCH numbers a sampled document
+    texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(alone, "row long")), "row").select("label", "text")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -144,7 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float
     rest = lambda n, total: F.when(F.col(n) < total, (total - F.col(n)) * F.log((total - F.col(n)) * (docs_t + docs_o) / ((docs_t + docs_o - F.col("td") - F.col("od")) * total))).otherwise(0.0)
     ratio = 2 * (side("td", docs_t) + side("od", docs_o) + rest("td", docs_t) + rest("od", docs_o))
     above = F.col("td") * docs_o > F.col("od") * docs_t
-    lexical = by_word.where((F.col("word") != "") & (F.col("td") >= min_docs) & above).where(F.sqrt(F.greatest(ratio, F.lit(0.0))) >= min_z)
+    tested = by_word.where((F.col("word") != "") & (F.col("td") + F.col("od") >= min_docs))
+    if min_z is None:
+        min_z = NormalDist().inv_cdf(1 - min(0.5, false_tokens / max(1, tested.count())))
+    lexical = tested.where((F.col("td") >= min_docs) & above).where(F.sqrt(F.greatest(ratio, F.lit(0.0))) >= min_z)
     telling = {r["word"]: log_odds(r["t"], r["o"], all_t, all_o, prior, flat) for r in lexical.select("word", "t", "o").collect()}
     dealt: dict[str, list[int]] = {}
     for r in deal(by_word.where((F.col("word") != "") & ~F.col("word").endswith("*")).select("word", "t", "o"), telling).groupBy("token").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).collect():
@@ -152,6 +166,33 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, prior: float
     return scored(dealt, all_t, all_o, prior, flat)
 
 
+def sketched(texts: DataFrame) -> DataFrame:
+    """row, sketch: the SKETCH smallest hashes of a text's shingles."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingles(x, SHINGLE)[:SKETCH].view(np.int64).tolist() for x in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "sketch"])
+
+        return work
+
+    return map_blocks(texts.select("row", "text"), make, "row long, sketch array<long>")
+
+
+def taken(rows: list[tuple[int, list[int]]]) -> list[int]:
+    """The rows, in order, that are no copies of one taken before; a short text's sketch may be less than COPY_SHARE long."""
+    of: dict[int, list[int]] = {}
+    out = []
+    for row, sketch in rows:
+        met = Counter(k for x in sketch for k in of.get(x, ()))
+        if met and max(met.values()) >= min(COPY_SHARE, len(sketch)):
+            continue
+        for x in sketch:
+            of.setdefault(x, []).append(row)
+        out.append(row)
+    return out
+
+
 def log_odds(t: int, o: int, all_t: int, all_o: int, prior: float, flat: float) -> float:
     """Of a token with t of the toxic words and o of the others."""
     alpha = prior * (t + o) / (all_t + all_o) + flat

@@ -89,12 +89,14 @@ def plain_fit(rows, prior, flat, min_z, min_docs):
     return rates, {x: math.log(t / o) for x, (t, o) in rates.items()}
 
 
-def test_log_odds_and_lambda_equal_the_definitions(spark):
+def test_log_odds_and_lambda_equal_the_definitions(spark, monkeypatch):
     import math
 
+    monkeypatch.setattr(toxicity, "COPY_SHARE", 99)  # with so few words, texts share shingles by chance
+
     rng = random.Random(12)
     usual = ["house", "river", "walking", "walked", "stone", "light", "people"]
-    rows = [(" ".join(rng.choice(usual + ["vilely", "vileness", "nasty"] * (label and rng.random() < 0.8)) for _ in range(rng.randint(3, 30))), label) for label in [0, 1] * 60]
+    rows = [(f"{i} " + " ".join(rng.choice(usual + ["vilely", "vileness", "nasty"] * (label and rng.random() < 0.8)) for _ in range(rng.randint(3, 30))), label) for i, label in enumerate([0, 1] * 60)]
     docs = documents(spark, list(enumerate(t for t, _ in rows)))
     labels = spark.createDataFrame([(i, label) for i, (_, label) in enumerate(rows)], "doc_id long, toxic int")
     for prior, flat, min_z, min_docs in ((100.0, 0.5, 3.5, 4), (5.0, 0.1, 1.0, 1)):
@@ -123,3 +125,23 @@ def test_sparse_hits_take_linear_time():
         began = time.process_time()
         assert toxicity.segments(text, lexicon)
         assert time.process_time() - began < 2
+
+
+def test_copies_are_no_evidence(spark):
+    rng = random.Random(3)
+    prose = lambda k, n=60: [f"w{k}x{i}" for i in range(n)]
+    base = prose("copied")
+    copies = []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(4):
+            copy[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
+        copies.append((" ".join([*copy[:30], "vileword", *copy[30:]]), 1))
+    toxic = [(" ".join([*prose(f"t{k}"), "vileword", "it", "is"]), 1) for k in range(12)]
+    clean = [(" ".join([*prose(f"c{k}"), "it", "is"]), 0) for k in range(120)]
+    rows = [*copies, *toxic, *clean]
+    docs = documents(spark, list(enumerate(t for t, _ in rows)))
+    labels = spark.createDataFrame([(i, label) for i, (_, label) in enumerate(rows)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, labels)
+    assert {t.rstrip("*") for t in lexicon.odds} <= {"vileword", "vilewor", "vilewo", "vilew", "vile"} and lexicon.odds
+    assert toxicity.taken([(1, [1, 2]), (2, [1, 2]), (3, [1, 3]), (4, []), (5, []), (6, [9, 8, 7, 6, 5, 4]), (7, [9, 8, 7, 6, 5])]) == [1, 3, 4, 5, 6]
