@@ -1,15 +1,14 @@
 """Token ids as flat unsigned integer files plus 64-bit document offsets.
 
-write() encodes texts where they lie and stores the packed ids; these, not the texts, are sorted by document
-id over range partitions. Each partition writes an `.ids` file (little-endian unsigned 16-bit integers where
-the vocabulary fits, else 32-bit), a `.docs` file (n document ids, 64-bit) and an `.off` file (n + 1 offsets in
-ids, 64-bit), all as streams. A manifest of one row a partition is committed by Spark; the ids before
-a partition are the prefix sum of the manifest's counts. read() maps the files into memory.
-
-Defined cases: a null or empty text gives only the end id; a long text is one row of its ids, so a task holds the
-ids of a few texts; a null doc_id sorts first; repeated rows are written each, rows that share an id by the
-crc32 of their ids, and a range may end within them, however many they are; other columns, whatever their names, are not
-read; an empty table gives no files and no rows.
+write() deals texts over range partitions of the document id; each partition encodes its texts in order and writes an `.ids`
+file (little-endian unsigned 16-bit integers where the vocabulary fits, else 32-bit), a `.docs` file (n document ids, 64-bit)
+and an `.off` file (n + 1 offsets in ids, 64-bit), all as streams. A manifest of one row a partition is committed by
+Spark; the ids before a partition are the prefix sum of the manifest's counts. read() maps the files into memory. Texts are
+moved, not ids: compressed, they take about as much, and ids would have to be stored before their ranges are known.
+
+Defined cases: a null or empty text gives only the end id; a long text is encoded as a whole, by itself; a null doc_id sorts
+first; repeated rows are written each, rows that share an id by the crc32 of their texts, and a range may end within them,
+however many they are; other columns, whatever their names, are not read; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.bpe import Pieces, encode_block, packed
-from orrery.llm.common import map_blocks, shared_folder, table, written
+from orrery.llm.common import blocks, shared_folder, small_batches, table, written
 from orrery.llm.files import create, mapped, target
 
 MANIFEST = "part long, ids_path string, docs_path string, off_path string, width int, n_docs long, n_tokens long"
@@ -82,60 +81,37 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the packed ids of its whole text and the end id (compressed, as they are stored and moved), their crc32."""
-
-    def make():
-        import zstandard
-
-        model, squeeze = library(vocabulary), zstandard.ZstdCompressor(level=1).compress
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, ends = model.encode(batch.column(1).to_pylist())
-            data = np.insert(ids, ends[1:], end_id).tobytes()  # an end id after each text
-            ends = (ends + np.arange(len(ends))) * model.width
-            own = [data[a:b] for a, b in itertools.pairwise(ends.tolist())]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(squeeze, own), pa.binary()), pa.array(map(zlib.crc32, own), pa.int64())], names=["doc_id", "ids", "crc"])
-
-        return work
-
-    return map_blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), make, "doc_id long, ids binary, crc long")
-
-
 def write(docs: DataFrame, vocabulary: str, end_id: int = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns the manifest with each partition's base, the ids before it."""
-    folder = folder or shared_folder(docs.sparkSession)
-    width = library(vocabulary).width
+    spark = docs.sparkSession
+    folder = folder or shared_folder(spark)
 
     def run(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
+        model = library(vocabulary)
         paths = [target(folder, suffix) for suffix in (".ids", ".docs", ".off")]
         n, at, out = 0, 0, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if not out:
-                out = [create(path) for path in paths]
-                out[2].write(np.zeros(1, "<i8").tobytes())
-            sizes = np.zeros(batch.num_rows, np.int64)
-            for k, ids in enumerate(batch.column(1)):
-                data = unpack(ids.as_buffer())
-                sizes[k] = len(data) // width
-                out[0].write(data)
-            out[1].write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-            out[2].write((at + np.cumsum(sizes)).astype("<i8").tobytes())
-            n, at = n + batch.num_rows, at + int(sizes.sum())
+            for part in blocks(batch):
+                if not out:
+                    out = [create(path) for path in paths]
+                    out[2].write(np.zeros(1, "<i8").tobytes())
+                ids, ends = model.encode(part.column(1).to_pylist())
+                out[0].write(np.insert(ids, ends[1:], end_id).tobytes())  # an end id after each text
+                out[1].write(part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                ends = at + ends[1:] + np.arange(1, len(ends))
+                out[2].write(ends.astype("<i8").tobytes())
+                n, at = n + part.num_rows, int(ends[-1])
         for file in out:
             file.close()
         if out:
-            row = [TaskContext.get().partitionId(), *paths, width, n, at]
+            row = [TaskContext.get().partitionId(), *paths, model.width, n, at]
             kinds = [pa.int64(), *[pa.string()] * 3, pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    rows = written(encoded(docs, vocabulary, end_id, id_col, text_col), folder).withColumn("row", F.monotonically_increasing_id())
-    dealt = rows.repartitionByRange("doc_id", "crc", "row").sortWithinPartitions("doc_id", "crc", "row").select("doc_id", "ids")
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("tie", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
     manifest = written(dealt.mapInArrow(run, MANIFEST), folder)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -99,7 +99,7 @@ def test_token_files_odd_rows(spark, tmp_path):
     got = [tuple(r) for r in tokenfiles.read(tokenfiles.write(docs, path)).collect()]
     coded = {t: [*model.encode(t or "", add_special_tokens=False).ids, 0] for _, t in pairs}
     crc = {t: zlib.crc32(np.array(ids, "<u4").tobytes()) for t, ids in coded.items()}
-    tie = {t: zlib.crc32(np.array(ids, "<u2").tobytes()) for t, ids in coded.items()}
+    tie = {t: zlib.crc32((t or "").encode()) for t in coded}
     pairs.sort(key=lambda p: (-1 if p[0] is None else p[0], tie[p[1]]))
     starts = accumulate((len(coded[t]) for _, t in pairs), initial=0)
     want = [(i, start, len(coded[t]), crc[t]) for (i, t), start in zip(pairs, starts, strict=False)]
