@@ -129,16 +129,17 @@ def test_sparse_hits_take_linear_time():
 
 def test_copies_are_no_evidence(spark):
     rng = random.Random(3)
-    prose = lambda k, n=60: [f"w{k}x{i}" for i in range(n)]
-    base = prose("copied")
+    alone = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    prose = lambda k: [alone(100 * k + i) for i in range(60)]
+    base = prose(10)
     copies = []
     for _ in range(60):
         copy = list(base)
         for _ in range(4):
-            copy[rng.randrange(60)] = f"new{rng.randrange(10**6)}"
+            copy[rng.randrange(60)] = f"new{alone(rng.randrange(10**6))}"
         copies.append((" ".join([*copy[:30], "vileword", *copy[30:]]), 1))
-    toxic = [(" ".join([*prose(f"t{k}"), "vileword", "it", "is"]), 1) for k in range(12)]
-    clean = [(" ".join([*prose(f"c{k}"), "it", "is"]), 0) for k in range(120)]
+    toxic = [(" ".join([*prose(20 + k), "vileword", "it", "is"]), 1) for k in range(12)]
+    clean = [(" ".join([*prose(50 + k), "it", "is"]), 0) for k in range(120)]
     rows = [*copies, *toxic, *clean]
     docs = documents(spark, list(enumerate(t for t, _ in rows)))
     labels = spark.createDataFrame([(i, label) for i, (_, label) in enumerate(rows)], "doc_id long, toxic int")
