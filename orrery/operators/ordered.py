@@ -8,6 +8,7 @@ ranges' totals, one row a range.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,53 +38,73 @@ def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
     return written(dealt.withColumn(BLOCK, F.spark_partition_id()))
 
 
-def _before(blocks: DataFrame, total: Column, merge: Callable[[Column], Column]) -> DataFrame:
-    """BLOCK and __prefix: the merge of the totals of all ranges before. One row a range."""
-    totals = blocks.groupBy(BLOCK).agg(total.alias("__total"))
-    frame = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(BLOCK, merge(F.col("__total")).over(frame).alias("__prefix"))
+class Scan(NamedTuple):
+    """What a range adds to those after it (total, also the running value within a range), how totals merge, and how both make a value."""
 
+    total: Column
+    merge: Callable[[Column], Column]
+    combine: Callable[[Column, Column], Column]
+    keep: Column | None = None
 
-def _scan(df: DataFrame, order: list[str], into: str, local: Column, total: Column, merge: Callable[[Column], Column], combine: Callable[[Column, Column], Column], keep: Column | None = None) -> DataFrame:
+
+def _scan(df: DataFrame, order: list[str], steps: dict[str, Scan]) -> DataFrame:
+    """One write and one pass over the ranges for all the new columns."""
     batch_only(df)
     blocks = _ranges(df, order)
     frame = Window.partitionBy(BLOCK).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = F.broadcast(_before(blocks, total, merge))  # one row a range
-    done = blocks.withColumn("__local", local.over(frame)).join(prefix, BLOCK, "left")
-    value = combine(F.col("__local"), F.col("__prefix"))
-    return done.withColumn(into, F.when(keep, value) if keep is not None else value).select(*[c for c in df.columns if c != into], into)
+    totals = blocks.groupBy(BLOCK).agg(*[s.total.alias(f"__total{k}") for k, s in enumerate(steps.values())])
+    before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    prefix = totals.select(BLOCK, *[s.merge(F.col(f"__total{k}")).over(before).alias(f"__prefix{k}") for k, s in enumerate(steps.values())])
+    done = blocks.withColumns({f"__local{k}": s.total.over(frame) for k, s in enumerate(steps.values())})
+    done = done.join(F.broadcast(prefix), BLOCK, "left")  # one row a range
+    values = {into: s.combine(F.col(f"__local{k}"), F.col(f"__prefix{k}")) for k, (into, s) in enumerate(steps.items())}
+    made = [(F.when(s.keep, values[into]) if s.keep is not None else values[into]).alias(into) for into, s in steps.items()]
+    return done.select(*[c for c in df.columns if c not in steps], *made)
+
+
+CUMULATIVE = {"sum": (F.sum, lambda a, b: a + b), "prod": (F.product, lambda a, b: a * b), "max": (F.max, F.greatest), "min": (F.min, F.least)}
 
 
-def _cumulative(df: DataFrame, column: str, order_by, into: str, partition_by, f, combine) -> DataFrame:
-    x, order = F.col(column), _keys(order_by)
+def cumulative(df: DataFrame, order_by: str | list[str], into: dict[str, tuple[str, str]], partition_by: str | list[str] | None = None) -> DataFrame:
+    """Running values; into: {new column: (one of CUMULATIVE, column)}, all in one pass. Null where the value is null, which
+    the running value skips."""
+    for name, _ in into.values():
+        if name not in CUMULATIVE:
+            raise ValueError(f"no running {name}; there are {', '.join(CUMULATIVE)}")
+    order = _keys(order_by)
+    if not into:
+        return df
     if partition_by:
         frame = Window.partitionBy(*_keys(partition_by)).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(into, F.when(x.isNotNull(), f(x).over(frame)))
-    both = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(combine(a, b))
-    return _scan(df, order, into, f(x), f(x), f, both, x.isNotNull())
+        return df.withColumns({new: F.when(F.col(c).isNotNull(), CUMULATIVE[name][0](F.col(c)).over(frame)) for new, (name, c) in into.items()})
+
+    def step(name: str, column: str) -> Scan:
+        f, merged = CUMULATIVE[name]
+        return Scan(f(F.col(column)), f, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merged(a, b)), F.col(column).isNotNull())
+
+    return _scan(df, order, {new: step(*of) for new, of in into.items()})
 
 
 def cum_sum(df: DataFrame, column: str, order_by: str | list[str], into: str, partition_by: str | list[str] | None = None) -> DataFrame:
-    """Running sum; null where the value is null, which the sum skips."""
-    return _cumulative(df, column, order_by, into, partition_by, F.sum, lambda a, b: a + b)
+    return cumulative(df, order_by, {into: ("sum", column)}, partition_by)
 
 
 def cum_prod(df: DataFrame, column: str, order_by: str | list[str], into: str, partition_by: str | list[str] | None = None) -> DataFrame:
-    return _cumulative(df, column, order_by, into, partition_by, F.product, lambda a, b: a * b)
+    return cumulative(df, order_by, {into: ("prod", column)}, partition_by)
 
 
 def cum_max(df: DataFrame, column: str, order_by: str | list[str], into: str, partition_by: str | list[str] | None = None) -> DataFrame:
-    return _cumulative(df, column, order_by, into, partition_by, F.max, F.greatest)
+    return cumulative(df, order_by, {into: ("max", column)}, partition_by)
 
 
 def cum_min(df: DataFrame, column: str, order_by: str | list[str], into: str, partition_by: str | list[str] | None = None) -> DataFrame:
-    return _cumulative(df, column, order_by, into, partition_by, F.min, F.least)
+    return cumulative(df, order_by, {into: ("min", column)}, partition_by)
 
 
 def row_index(df: DataFrame, order_by: str | list[str], into: str = "index") -> DataFrame:
     """Positions from 0 on."""
     one = F.count(F.lit(1))
-    return _scan(df, _keys(order_by), into, one, one, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)) - 1)
+    return _scan(df, _keys(order_by), {into: Scan(one, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)) - 1)})
 
 
 def _with_halo(df: DataFrame, order: list[str], back: int, ahead: int = 0) -> tuple[DataFrame, Window]:
@@ -100,15 +121,25 @@ def _with_halo(df: DataFrame, order: list[str], back: int, ahead: int = 0) -> tu
     return spread.withColumn(BLOCK, F.col("__copy.b")).withColumn(HALO, F.col("__copy.h")), Window.partitionBy(BLOCK).orderBy(AT)
 
 
-def shift(df: DataFrame, column: str, n: int, order_by: str | list[str], into: str, partition_by: str | list[str] | None = None) -> DataFrame:
-    """The value n rows before (n < 0: after); null where there is none."""
-    moved = lambda w: (F.lag(column, n) if n >= 0 else F.lead(column, -n)).over(w)
+def shifts(df: DataFrame, order_by: str | list[str], into: dict[str, tuple[str, int]], partition_by: str | list[str] | None = None) -> DataFrame:
+    """into: {new column: (column, n)}, all in one pass: the value n rows before (n < 0: after); null where there is none."""
+    moved = lambda c, n, w: (F.lag(c, n) if n >= 0 else F.lead(c, -n)).over(w)
     order = _keys(order_by)
+    if not into:
+        return df
     if partition_by:
-        return df.withColumn(into, moved(Window.partitionBy(*_keys(partition_by)).orderBy(*[F.col(c).asc_nulls_first() for c in order])))
+        frame = Window.partitionBy(*_keys(partition_by)).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+        return df.withColumns({new: moved(c, n, frame) for new, (c, n) in into.items()})
     batch_only(df)
-    rows, frame = _with_halo(df, order, max(n, 0), max(-n, 0))
-    return rows.withColumn(into, moved(frame)).where(~F.col(HALO)).select(*[c for c in df.columns if c != into], into)
+    steps = [n for _, n in into.values()]
+    rows, frame = _with_halo(df, order, max(0, *steps), max(0, *(-n for n in steps)))
+    made = {f"__moved{k}": moved(c, n, frame) for k, (c, n) in enumerate(into.values())}
+    done = rows.withColumns(made).where(~F.col(HALO))
+    return done.select(*[c for c in df.columns if c not in into], *[F.col(m).alias(new) for m, new in zip(made, into, strict=True)])
+
+
+def shift(df: DataFrame, column: str, n: int, order_by: str | list[str], into: str, partition_by: str | list[str] | None = None) -> DataFrame:
+    return shifts(df, order_by, {into: (column, n)}, partition_by)
 
 
 ROLLING = ("sum", "mean", "var", "std", "min", "max")

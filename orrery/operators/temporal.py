@@ -13,15 +13,28 @@ FIELDS = {
 }
 
 
-def field(x: Column, name: str) -> Column:
-    """weekday: 0 is Monday; week: ISO."""
+def local_time(x: Column, zone: str) -> Column:
+    """The wall time in a zone, of a UTC time without zone. A timestamp that has one comes first through `utc`."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), x)
+
+
+def utc(x: Column) -> Column:
+    """The UTC time of a timestamp with zone, as one without, whatever the session's zone; microseconds stay."""
+    micros = F.unix_micros(x)
+    day = 86_400_000_000
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / F.lit(day)).cast("int"))
+    return date.cast("timestamp_ntz") + F.make_dt_interval(secs=(F.pmod(micros, F.lit(day)).cast("decimal(18,6)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
+def field(x: Column, name: str, zone: str | None = None) -> Column:
+    """weekday: 0 is Monday; week: ISO. zone: the field of the wall time there, of a UTC time without zone."""
     if name not in FIELDS:
         raise ValueError(f"no calendar field {name}; there are {', '.join(FIELDS)}")
-    return FIELDS[name](x).cast("int")
+    return FIELDS[name](local_time(x, zone) if zone else x).cast("int")
 
 
-def with_fields(df: DataFrame, column: str, *names: str) -> DataFrame:
-    return df.withColumns({f"{column}_{n}": field(F.col(column), n) for n in names})
+def with_fields(df: DataFrame, column: str, *names: str, zone: str | None = None) -> DataFrame:
+    return df.withColumns({f"{column}_{n}": field(F.col(column), n, zone) for n in names})
 
 
 def days(x: Column) -> Column:

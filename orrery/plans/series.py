@@ -65,14 +65,12 @@ def cum_prod(spark, sf_dir):
 
 @query(f"SELECT event_id, max(value) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS high, min(value) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS low FROM events")
 def cum_max_min(spark, sf_dir):
-    rows = ordered.cum_max(_events(spark, sf_dir), "value", ORDER, "high")
-    return ordered.cum_min(rows, "value", ORDER, "low").select("event_id", "high", "low")
+    return ordered.cumulative(_events(spark, sf_dir), ORDER, {"high": ("max", "value"), "low": ("min", "value")}).select("event_id", "high", "low")
 
 
 @query(f"SELECT event_id, lag(value, 3) OVER ({BY}) AS before, lead(value, 2) OVER ({BY}) AS after FROM events")
 def shift(spark, sf_dir):
-    rows = ordered.shift(_events(spark, sf_dir), "value", 3, ORDER, "before")
-    return ordered.shift(rows, "value", -2, ORDER, "after").select("event_id", "before", "after")
+    return ordered.shifts(_events(spark, sf_dir), ORDER, {"before": ("value", 3), "after": ("value", -2)}).select("event_id", "before", "after")
 
 
 @query(f"SELECT event_id, row_number() OVER ({BY}) - 1 AS index FROM events")
@@ -93,6 +91,14 @@ def dt_fields(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", *[temporal.field(F.col("ts"), n).alias(a) for a, n in names.items()], temporal.days(F.col("ts")).alias("days"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, timezone('America/New_York', timezone('UTC', o_orderdate)) AS ny, timezone('Asia/Kolkata', timezone('UTC', o_orderdate)) AS ko FROM orders)
+SELECT o_orderkey, CAST(day(ny) AS INTEGER) AS ny_day, CAST(hour(ny) AS INTEGER) AS ny_hour, CAST(hour(ko) AS INTEGER) AS ko_hour, CAST(minute(ko) AS INTEGER) AS ko_minute FROM o""")
+def dt_zones(spark, sf_dir):
+    x, ny, ko = F.col("o_orderdate"), "America/New_York", "Asia/Kolkata"
+    fields = {"ny_day": ("day", ny), "ny_hour": ("hour", ny), "ko_hour": ("hour", ko), "ko_minute": ("minute", ko)}
+    return load(spark, sf_dir, "orders").select("o_orderkey", *[temporal.field(x, name, zone).alias(a) for a, (name, zone) in fields.items()])
+
+
 @query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1")
 def dt_trunc_month(spark, sf_dir):
     return load(spark, sf_dir, "orders").groupBy(F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))

@@ -25,6 +25,23 @@ def test_cumulative(rows, name, f):
     pd.testing.assert_series_equal(values(getattr(ordered, name)(df, "x", "o", "v")), getattr(want, f)(), check_names=False)
 
 
+@pytest.mark.parametrize("by", [None, "g"])
+def test_several_in_one_pass(rows, by, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 32)
+    df, want = rows
+    df = df.withColumn("g", F.lit(1)).withColumn("y", -F.col("x"))
+    moved = ordered.shifts(df, "o", {"before": ("x", 5), "x": ("y", -3), "y": ("x", 0)}, by).cache()  # reads the old columns
+    if by is None:
+        for column, series in (("before", want.shift(5)), ("x", -want.shift(-3)), ("y", want)):
+            pd.testing.assert_series_equal(values(moved, column), series, check_names=False)
+    run = ordered.cumulative(df, "o", {"high": ("max", "x"), "low": ("min", "y"), "all": ("sum", "x")}, by).cache()
+    for column, series in (("high", want.cummax()), ("low", (-want).cummin()), ("all", want.cumsum())):
+        pd.testing.assert_series_equal(values(run, column), series, check_names=False)
+    assert ordered.cumulative(df, "o", {}).columns == df.columns == ordered.shifts(df, "o", {}).columns
+    with pytest.raises(ValueError):
+        ordered.cumulative(df, "o", {"v": ("mode", "x")})
+
+
 def test_cumulative_product(spark):
     df = spark.range(1, 60).select(F.col("id").alias("o"), (1 + F.col("id") / 100).alias("x"))
     got = values(ordered.cum_prod(df, "x", "o", "v"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import agg, dtw, frame, joins, signal, temporal, vector
+from orrery.operators import agg, dtw, frame, joins, ordered, signal, temporal, vector
 from orrery.sources import tables
 
 
@@ -159,6 +159,31 @@ def test_calendar_before_the_epoch(spark):
     assert tuple(r) == (1969, 31, -1)
 
 
+@pytest.mark.parametrize("session_zone", ["UTC", "Europe/Berlin"])
+def test_calendar_in_zones(spark, session_zone):
+    import datetime
+    from zoneinfo import ZoneInfo
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        instants = [datetime.datetime(1969, 12, 31, 23, 59, 59, 250001, datetime.UTC), datetime.datetime(2024, 3, 31, 1, 0, tzinfo=datetime.UTC), datetime.datetime(2024, 10, 27, 0, 30, tzinfo=datetime.UTC), None]
+        x = F.col("t")
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(instants)], "i int, t timestamp")
+        names, zones = ("day", "hour", "minute", "second"), ("America/New_York", "Asia/Kolkata", "Europe/Berlin")
+        got = df.orderBy("i").select(temporal.utc(x).cast("string").alias("utc"), *[temporal.field(temporal.utc(x), n, z) for z in zones for n in names]).collect()
+        for r, t in zip(got, instants, strict=True):
+            want = [None] * 13 if t is None else [t.replace(tzinfo=None).isoformat(" "), *[getattr(t.astimezone(ZoneInfo(z)), n) for z in zones for n in names]]
+            assert list(r) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_operators_in_chains(spark, sf):
+    out = spark.read.parquet(f"{sf}/events.parquet").transform(ordered.row_index, "event_id", "at").transform(temporal.with_fields, "ts", "hour", zone="Asia/Tokyo").transform(frame.top_k, 3, "at")
+    assert [r["at"] for r in out.collect()] and "ts_hour" in out.columns
+
+
 def test_asof_in_ranges_and_with_ties(spark, monkeypatch):
     rng = np.random.default_rng(2)
     left = [(int(i), float(t)) for i, t in enumerate(np.round(rng.random(300) * 50, 1))]
