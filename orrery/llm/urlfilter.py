@@ -13,6 +13,8 @@ labels, or none that pass, there are no mined rules. The longest of several fitt
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     empty = spark.createDataFrame([], "items array<string>, confidence double, rarest string")
     if not n or not bad:
         return empty
-    least = max(min_count, min_support * n)
+    least = math.ceil(max(min_count, min_support * n))
     seen = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     telling = written(seen.where(F.col("bad") >= least).select("token", "n"), folder)  # at most tokens of a URL / min_support
     marked = rows.withColumn("id", F.monotonically_increasing_id())
@@ -66,7 +68,8 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     baskets = written(baskets.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")), folder)
     if baskets.isEmpty():
         return empty
-    found = FPGrowth(itemsCol="items", minSupport=least / max(1, baskets.count()), minConfidence=min_confidence).fit(baskets).associationRules
+    share = (least - 0.5) / baskets.count()  # half a row less: it is turned back into a count by rounding up
+    found = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(baskets).associationRules
     found = found.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("confidence") >= min_lift * bad / n)).select(F.array_sort("antecedent").alias("items"), "confidence")
     found = written(found, folder)
     by_token = F.struct("n", "token")

@@ -1,3 +1,4 @@
+import random
 import re
 
 from orrery.llm import urlfilter
@@ -45,6 +46,41 @@ def test_tokens_that_tell_only_together(spark):
     assert urlfilter.mine(labelled, min_confidence=0.3, min_lift=2.7).count() == 0 < urlfilter.mine(labelled, min_confidence=0.3, min_lift=2.6).count()  # 1.0 over 0.375 is 2.67
 
 
+def all_rules(pages, least, confidence, lift):
+    """Every token combination that passes and holds no other one that does."""
+    from itertools import combinations
+
+    rows = [({w for w in re.split(r"[\W_]+", u.lower()) if w}, bad) for u, bad in pages]
+    base = sum(bad for _, bad in rows) / len(rows)
+    names, found = sorted(set().union(*[t for t, _ in rows])), {}
+    for size in range(1, 6):
+        for combo in combinations(names, size):
+            own = [bad for t, bad in rows if t.issuperset(combo)]
+            if sum(own) >= least and sum(own) / len(own) >= confidence and sum(own) / len(own) >= lift * base and not any(set(f) <= set(combo) for f in found):
+                found[combo] = round(sum(own) / len(own), 9)
+    return found
+
+
+def test_rules_equal_all_combinations(spark):
+    rng = random.Random(4)
+    pages = []
+    for _ in range(300):
+        own = [w for w in "abcdefg" if rng.random() < 0.45]
+        pages.append(("x://" + "/".join(own), rng.random() < (0.95 if {"a", "c"} <= set(own) else 0.9 if {"b", "d", "f"} <= set(own) else 0.2)))
+    labelled = spark.createDataFrame(pages, "url string, bad boolean")
+    for least, confidence, lift in ((20, 0.75, 1.05), (8, 0.85, 1.05), (12, 0.5, 2.0)):
+        mined = urlfilter.mine(labelled, min_confidence=confidence, min_count=least, min_lift=lift).collect()
+        assert {tuple(r["items"]): round(r.confidence, 9) for r in mined} == all_rules(pages, least, confidence, lift) != {}
+        assert all(r.rarest in r["items"] for r in mined)
+
+
+def test_support_is_a_count(spark):
+    """25 of 39 rows are 25, though 25 / 39 * 39 is a little more."""
+    labelled = spark.createDataFrame([("x://spam", True)] * 25 + [("x://ham", False)] * 14, "url string, bad boolean")
+    assert [r["items"] for r in urlfilter.mine(labelled, min_count=25).collect()] == [["spam"]]
+    assert urlfilter.mine(labelled, min_count=26).count() == 0
+
+
 def test_query_over_a_table(spark):
     sf = "/root/testdata/sf0.01"
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
