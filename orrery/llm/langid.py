@@ -65,6 +65,26 @@ def _forward(net: Network, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray],
     return h, places, z / z.sum(1, keepdims=True)
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy, by the tables, their biases, the dense layer and its bias."""
+    batch = len(x)
+    h, places, p = _forward(net, x)
+    d = p.copy()
+    d[np.arange(batch), y] -= 1
+    d /= batch
+    back = (d @ net.dense.T) * (h > 0)
+    grads: list[np.ndarray] = []
+    rows = np.arange(batch)[:, None]
+    for j, t in enumerate(net.tables):
+        g = np.zeros_like(t)
+        own = back[:, j * FILTERS : (j + 1) * FILTERS]
+        for k in range(len(t)):
+            np.add.at(g[k], (x[rows, places[j] + k], np.arange(FILTERS)[None, :]), own)
+        grads.append(g)
+    grads += [back[:, j * FILTERS : (j + 1) * FILTERS].sum(0) for j in range(len(WIDTHS))]
+    return [*grads, h.T @ d, d.sum(0)]
+
+
 def train(windows: np.ndarray, target: np.ndarray, languages: list[str], steps: int = 900, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
     """Adam on cross-entropy; a third of the windows of a batch is cut short, as short texts are."""
     rng = np.random.default_rng(seed)
@@ -84,21 +104,7 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], steps:
         x, y = windows[pick].copy(), target[pick]
         for i in np.flatnonzero(rng.random(batch) < 0.33):
             x[i, rng.integers(16, WINDOW) :] = 0
-        h, places, p = _forward(net, x)
-        d = p.copy()
-        d[np.arange(batch), y] -= 1
-        d /= batch
-        back = (d @ net.dense.T) * (h > 0)
-        grads: list[np.ndarray] = []
-        rows = np.arange(batch)[:, None]
-        for j, t in enumerate(net.tables):
-            g = np.zeros_like(t)
-            own = back[:, j * FILTERS : (j + 1) * FILTERS]
-            for k in range(len(t)):
-                np.add.at(g[k], (x[rows, places[j] + k], np.arange(FILTERS)[None, :]), own)
-            grads.append(g)
-        grads += [back[:, j * FILTERS : (j + 1) * FILTERS].sum(0) for j in range(len(WIDTHS))]
-        grads += [h.T @ d, d.sum(0)]
+        grads = gradients(net, x, y)
         slow = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for w, g, a, b in zip(weights, grads, m, v, strict=True):
             a += 0.1 * (g - a)

@@ -30,6 +30,38 @@ def test_integer_tables_equal_the_network(net):
     assert np.allclose(langid.Predictor(net).windows(data), langid._forward(net, x)[2], atol=0.02)
 
 
+def plain_network(tables, bias, dense, out_bias, window):
+    """Probabilities of one window: filters, their largest response, rectified, softmax."""
+    h = []
+    for t, b in zip(tables, bias, strict=True):
+        for f in range(t.shape[2]):
+            h.append(max(0.0, b[f] + max(sum(t[k, window[i + k], f] for k in range(len(t))) for i in range(langid.WINDOW))))
+    z = np.exp(np.array(h) @ dense + out_bias)
+    return z / z.sum()
+
+
+def test_network_and_gradients_equal_the_definition():
+    rng = np.random.default_rng(3)
+    net = langid.Network(
+        ["a", "b", "c"], [rng.normal(0, 0.5, (w, 256, langid.FILTERS)) for w in langid.WIDTHS], [rng.normal(0, 0.1, langid.FILTERS) for _ in langid.WIDTHS],
+        rng.normal(0, 0.3, (langid.FILTERS * len(langid.WIDTHS), 3)), rng.normal(0, 0.3, 3),
+    )
+    x, y = rng.integers(0, 256, (4, langid.WINDOW + langid.PAD)).astype(np.uint8), np.array([0, 2, 1, 2])
+    p = langid._forward(net, x)[2]
+    assert np.allclose(p, [plain_network(net.tables, net.bias, net.dense, net.out_bias, w) for w in x])
+    loss = lambda: -np.log(langid._forward(net, x)[2][np.arange(4), y]).mean()
+    weights = [*net.tables, *net.bias, net.dense, net.out_bias]
+    for w, g in zip(weights, langid.gradients(net, x, y), strict=True):
+        flat, own = w.reshape(-1), g.reshape(-1)
+        for i in {*np.argsort(-abs(own))[:4].tolist(), *rng.integers(0, len(flat), 3).tolist()}:
+            old, around = flat[i], []
+            for step in (1e-6, -1e-6):
+                flat[i] = old + step
+                around.append(loss())
+            flat[i] = old
+            assert abs((around[0] - around[1]) / 2e-6 - own[i]) < 1e-6
+
+
 def test_whole_text_counts(net):
     model = langid.Predictor(net)
     en, de = "the thing was in the other and of that with these ", "der die das und nicht eine ung keit schen verzug "
