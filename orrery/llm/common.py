@@ -46,17 +46,23 @@ def blocks(batch: pa.RecordBatch, text: int = 1, limit: int = BLOCK_BYTES) -> It
 
 def map_blocks(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, text: int = 1) -> DataFrame:
     """mapInArrow over bounded blocks. make() runs once a task and returns the function of a block."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in blocks(batch, text):
+            for part in blocks(pa.RecordBatch.from_arrays(batch.columns, names=names), text):
                 yield work(part)
         del work
         pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds little
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)  # mapInArrow can't read names with dots
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they are, dots and backticks included."""
+    return ["`" + name.replace("`", "``") + "`" for name in names]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,7 +94,8 @@ def split_by_ids(rows: DataFrame, id_col: str, ids: DataFrame, bits_an_id: int =
     held = held.groupBy(F.expr("__at div 64").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__at % 64 as int))")).alias("__mask"))
     marked = rows.withColumn("__at", place(id_col)).withColumn("__word", F.expr("__at div 64")).join(F.broadcast(held), "__word", "left")
     there = F.expr("coalesce(getbit(__mask, cast(__at % 64 as int)) = 1, false)")
-    return marked.where(there).select(*rows.columns), marked.where(~there).select(*rows.columns)
+    own = quoted(rows.columns)
+    return marked.where(there).select(*own), marked.where(~there).select(*own)
 
 
 def without_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:

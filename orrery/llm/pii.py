@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import shared_folder, split_by_ids, table, written
+from orrery.llm.common import quoted, shared_folder, split_by_ids, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The patterns of the contract. Possessive runs and starts at a run's first character only find the same
@@ -100,7 +100,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, row: bool = False) -> DataFrame:
-    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if row else []
+    own = [F.struct(*quoted(docs.columns)).alias("row")] if row else []
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own)
 
 
@@ -191,7 +191,7 @@ def mask_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col:
     """The rows with masked texts and, where there is such a column, their new length."""
     found = find_pii(docs, support, threshold, id_col, text_col, row=True).withColumn("masked", masked(F.col("text"), F.col("spans")))
     new = {text_col: F.col("masked"), length_col: F.length("masked")}
-    return found.select(*[(new[c].cast(t) if c in new else F.col(f"row.`{c}`")).alias(c) for c, t in docs.dtypes])
+    return found.select(*[(new[c].cast(t) if c in new else F.col(f"row.{quoted([c])[0]}")).alias(c) for c, t in docs.dtypes])
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

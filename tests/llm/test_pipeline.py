@@ -51,3 +51,23 @@ def test_planted_and_odd_rows(spark, tmp_path):
     assert got == {*range(40), 103, 104, 105, None}
     saved(docs.limit(0), tmp_path, "documents")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_clashing_names(spark, tmp_path):
+    """Columns named like those inside the operators keep their values; rows that repeat are one document."""
+    names = ["row", "spans", "score", "terms", "unit", "hash", "w", "comp", "component_id", "item_id", "own", "base", "masked", "words", "ids", "n_tokens"]
+    prose = lambda k: " ".join(f"word{k}x{i}" for i in range(30))
+    texts = [(i, prose(i)) for i in range(12)] + [(3, prose(3)), (3, prose(3)), (50, prose(4)), (60, f"call +49 30 1234567 {prose(60)}"), (None, None), (None, None)]
+    docs = documents(spark, texts).withColumns({n: F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    docs = docs.withColumn("Text ", F.lit("x")).withColumn("a.b", F.lit(1))
+    saved(spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    saved(spark.createDataFrame([(1, prose(99))], "item_id long, text string"), tmp_path, "benchmark")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, written(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == before.columns and [t for _, t in docs.dtypes] == [t for _, t in before.dtypes], name
+    rows = docs.collect()
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in rows) == [-1, -1, *range(12), 60]
+    assert all(r[n] == f"{n} {'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+    assert next(r.text for r in rows if r.doc_id == 60).startswith("call [PHONE] word")
+    done = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(done) == len(rows)
