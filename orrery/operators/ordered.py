@@ -8,6 +8,7 @@ ranges' totals, one row a range.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,9 +33,13 @@ def _keys(order_by: str | list[str]) -> list[str]:
     return names
 
 
+def _sorted(names: list[str], reverse: bool = False) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if reverse else F.col(c).asc_nulls_first() for c in names]
+
+
 def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
     """df with BLOCK, the number of the range; written, as ranges come from a sample that may differ between runs."""
-    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order])
+    dealt = df.repartitionByRange(*_sorted(order))
     return written(dealt.withColumn(BLOCK, F.spark_partition_id()))
 
 
@@ -47,13 +52,13 @@ class Scan(NamedTuple):
     keep: Column | None = None
 
 
-def _scan(df: DataFrame, order: list[str], steps: dict[str, Scan]) -> DataFrame:
-    """One write and one pass over the ranges for all the new columns."""
+def _scan(df: DataFrame, order: list[str], steps: dict[str, Scan], reverse: bool = False) -> DataFrame:
+    """One write and one pass over the ranges for all the new columns; reverse: from the last row on."""
     batch_only(df)
     blocks = _ranges(df, order)
-    frame = Window.partitionBy(BLOCK).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    frame = Window.partitionBy(BLOCK).orderBy(*_sorted(order, reverse)).rowsBetween(Window.unboundedPreceding, 0)
     totals = blocks.groupBy(BLOCK).agg(*[s.total.alias(f"__total{k}") for k, s in enumerate(steps.values())])
-    before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*_sorted([BLOCK], reverse)).rowsBetween(Window.unboundedPreceding, -1)
     prefix = totals.select(BLOCK, *[s.merge(F.col(f"__total{k}")).over(before).alias(f"__prefix{k}") for k, s in enumerate(steps.values())])
     done = blocks.withColumns({f"__local{k}": s.total.over(frame) for k, s in enumerate(steps.values())})
     done = done.join(F.broadcast(prefix), BLOCK, "left")  # one row a range
@@ -65,9 +70,9 @@ def _scan(df: DataFrame, order: list[str], steps: dict[str, Scan]) -> DataFrame:
 CUMULATIVE = {"sum": (F.sum, lambda a, b: a + b), "prod": (F.product, lambda a, b: a * b), "max": (F.max, F.greatest), "min": (F.min, F.least)}
 
 
-def cumulative(df: DataFrame, order_by: str | list[str], into: dict[str, tuple[str, str]], partition_by: str | list[str] | None = None) -> DataFrame:
+def cumulative(df: DataFrame, order_by: str | list[str], into: dict[str, tuple[str, str]], partition_by: str | list[str] | None = None, reverse: bool = False) -> DataFrame:
     """Running values; into: {new column: (one of CUMULATIVE, column)}, all in one pass. Null where the value is null, which
-    the running value skips."""
+    the running value skips. reverse: from the last row back to the first."""
     for name, _ in into.values():
         if name not in CUMULATIVE:
             raise ValueError(f"no running {name}; there are {', '.join(CUMULATIVE)}")
@@ -75,14 +80,14 @@ def cumulative(df: DataFrame, order_by: str | list[str], into: dict[str, tuple[s
     if not into:
         return df
     if partition_by:
-        frame = Window.partitionBy(*_keys(partition_by)).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        frame = Window.partitionBy(*_keys(partition_by)).orderBy(*_sorted(order, reverse)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({new: F.when(F.col(c).isNotNull(), CUMULATIVE[name][0](F.col(c)).over(frame)) for new, (name, c) in into.items()})
 
     def step(name: str, column: str) -> Scan:
         f, merged = CUMULATIVE[name]
         return Scan(f(F.col(column)), f, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merged(a, b)), F.col(column).isNotNull())
 
-    return _scan(df, order, {new: step(*of) for new, of in into.items()})
+    return _scan(df, order, {new: step(*of) for new, of in into.items()}, reverse)
 
 
 def cum_sum(df: DataFrame, column: str, order_by: str | list[str], into: str, partition_by: str | list[str] | None = None) -> DataFrame:
@@ -128,7 +133,7 @@ def shifts(df: DataFrame, order_by: str | list[str], into: dict[str, tuple[str,
     if not into:
         return df
     if partition_by:
-        frame = Window.partitionBy(*_keys(partition_by)).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+        frame = Window.partitionBy(*_keys(partition_by)).orderBy(*_sorted(order))
         return df.withColumns({new: moved(c, n, frame) for new, (c, n) in into.items()})
     batch_only(df)
     steps = [n for _, n in into.values()]
@@ -142,29 +147,72 @@ def shift(df: DataFrame, column: str, n: int, order_by: str | list[str], into: s
     return shifts(df, order_by, {into: (column, n)}, partition_by)
 
 
-ROLLING = ("sum", "mean", "var", "std", "min", "max")
+ROLLING = ("sum", "mean", "var", "std", "min", "max", "median")
+
+
+def _check_rolling(into: dict[str, str | float]) -> None:
+    for name in into.values():
+        if not (name in ROLLING or isinstance(name, float) and 0 <= name <= 1):
+            raise ValueError(f"no rolling {name}; there are {', '.join(ROLLING)} and quantiles from 0.0 to 1.0")
+
+
+def _rolled(name: str | float, x: Column, frame: Window, spread: Column) -> Column:
+    """Sliding quantiles are worked out anew for each window, in time that grows with it; the others are Spark's aggregates."""
+    if isinstance(name, float) or name == "median":
+        return F.percentile(x, 0.5 if name == "median" else name).over(frame)
+    return {"sum": lambda: F.sum(x).over(frame), "mean": lambda: F.avg(x).over(frame), "min": lambda: F.min(x).over(frame), "max": lambda: F.max(x).over(frame), "var": lambda: spread, "std": lambda: F.sqrt(spread)}[name]()
 
 
-def rolling(df: DataFrame, column: str, window: int, order_by: str | list[str], into: dict[str, str], ddof: int = 1, partition_by: str | list[str] | None = None) -> DataFrame:
-    """Trailing windows of `window` rows; into: {new column: one of ROLLING}. Null until the window is full
-    of values that aren't null."""
+def rolling(df: DataFrame, column: str, window: int, order_by: str | list[str], into: dict[str, str | float], ddof: int = 1, partition_by: str | list[str] | None = None) -> DataFrame:
+    """Trailing windows of `window` rows; into: {new column: one of ROLLING, or a quantile between 0.0 and 1.0, interpolated}.
+    Null until the window is full of values that aren't null."""
     if window < 1:
         raise ValueError("a window has at least one row")
-    for name in into.values():
-        if name not in ROLLING:
-            raise ValueError(f"no rolling {name}; there are {', '.join(ROLLING)}")
-        if name in ("var", "std") and window <= ddof:
-            raise ValueError("a variance needs a window above ddof")
+    _check_rolling(into)
+    if window <= ddof and {"var", "std"} & set(into.values()):
+        raise ValueError("a variance needs a window above ddof")
     order = _keys(order_by)
     if partition_by:
-        rows, base = df, Window.partitionBy(*_keys(partition_by)).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+        rows, base = df, Window.partitionBy(*_keys(partition_by)).orderBy(*_sorted(order))
     else:
         batch_only(df)
         rows, base = _with_halo(df, order, window - 1)
     frame, x = base.rowsBetween(-(window - 1), 0), F.col(column).cast("double")
     spread = F.var_samp(x).over(frame) if ddof == 1 else F.var_pop(x).over(frame) * window / (window - ddof)
-    made = {"sum": lambda: F.sum(x).over(frame), "mean": lambda: F.avg(x).over(frame), "min": lambda: F.min(x).over(frame), "max": lambda: F.max(x).over(frame), "var": lambda: spread, "std": lambda: F.sqrt(spread)}
     full = F.count(x).over(frame) >= window
-    out = rows.withColumns({new: F.when(full, made[name]()) for new, name in into.items()})
+    out = rows.withColumns({new: F.when(full, _rolled(name, x, frame, spread)) for new, name in into.items()})
     out = out if partition_by else out.where(~F.col(HALO))
     return out.select(*[c for c in df.columns if c not in into], *into)
+
+
+def rolling_by(df: DataFrame, column: str, on: str, width: timedelta | int, into: dict[str, str | float], partition_by: str | list[str] | None = None) -> DataFrame:
+    """Trailing windows (t - width, t] of a timestamp or date (width: a timedelta) or integer column `on`; into as in rolling().
+
+    A window holds all rows of its times; null without a value, a variance with one. Rows whose `on` is null get null.
+    Without `partition_by` the times are cut into slices of equal width, at least a window wide, as many as the rows have
+    BLOCK_ROWS; a slice also holds the rows that its windows reach back to. Rows of one slice meet in one task.
+    """
+    _check_rolling(into)
+    t = F.col(on)
+    if isinstance(width, timedelta):
+        t, width = F.unix_micros(t.cast("timestamp")), width // timedelta(microseconds=1)
+    if width < 1:
+        raise ValueError("a window has a width")
+    every = df.withColumn(AT, t.cast("long"))
+    placed, rest = every.where(F.col(AT).isNotNull()), every.where(F.col(AT).isNull())
+    if partition_by:
+        rows, base = placed.withColumn(HALO, F.lit(False)), Window.partitionBy(*_keys(partition_by))
+    else:
+        batch_only(df)
+        sizes = placed.agg(F.count(AT).alias("n"), F.min(AT).alias("low"), F.max(AT).alias("high")).first()
+        low, high = sizes["low"] or 0, sizes["high"] or 0
+        size = max(width, (high - low) // (sizes["n"] // BLOCK_ROWS + 1) + 1)
+        block = F.expr(f"({AT} - {low}L) div {size}L")
+        reaches = F.expr(f"({AT} - {low}L) % {size}L") > size - width
+        copies = F.array(F.struct(block.alias("b"), F.lit(False).alias("h")), F.when(reaches, F.struct((block + 1).alias("b"), F.lit(True).alias("h"))))
+        rows = placed.withColumn("__copy", F.explode(F.array_compact(copies))).withColumn(BLOCK, F.col("__copy.b")).withColumn(HALO, F.col("__copy.h")).drop("__copy")
+        base = Window.partitionBy(BLOCK)
+    frame, x = base.orderBy(AT).rangeBetween(1 - width, 0), F.col(column).cast("double")
+    done = rows.withColumns({new: _rolled(name, x, frame, F.var_samp(x).over(frame)) for new, name in into.items()}).where(~F.col(HALO))
+    names = [*[c for c in df.columns if c not in into], *into]
+    return done.select(*names).unionByName(rest.withColumns(dict.fromkeys(into, F.lit(None).cast("double"))).select(*names))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from orrery.operators import ordered, temporal
@@ -73,6 +75,33 @@ def shift(spark, sf_dir):
     return ordered.shifts(_events(spark, sf_dir), ORDER, {"before": ("value", 3), "after": ("value", -2)}).select("event_id", "before", "after")
 
 
+@query("SELECT event_id, round(sum(value) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING), 3) AS total, max(value) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS high FROM events")
+def cum_reverse(spark, sf_dir):
+    out = ordered.cumulative(_events(spark, sf_dir), ORDER, {"total": ("sum", "value"), "high": ("max", "value")}, reverse=True)
+    return out.select("event_id", F.round("total", 3).alias("total"), "high")
+
+
+@query(f"""SELECT event_id, CASE WHEN count(value) OVER w >= 20 THEN round(median(value) OVER w, 5) END AS md, CASE WHEN count(value) OVER w >= 20 THEN round(quantile_cont(value, 0.9) OVER w, 5) END AS p90 FROM events
+WINDOW w AS ({BY} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def rolling_quantiles(spark, sf_dir):
+    out = ordered.rolling(_events(spark, sf_dir), "value", 20, ORDER, {"md": "median", "p90": 0.9})
+    return out.select("event_id", F.round("md", 5).alias("md"), F.round("p90", 5).alias("p90"))
+
+
+def _by_time(name: str, keys: str, by: str | None):
+    def f(spark, sf_dir):
+        out = ordered.rolling_by(_events(spark, sf_dir), "value", "ts", timedelta(hours=6), {"total": "sum", "low": "min", "high": "max"}, by)
+        return out.select("event_id", F.round("total", 3).alias("total"), "low", "high")
+
+    f.__name__ = name
+    w = f"({keys}ORDER BY ts RANGE BETWEEN INTERVAL '21599.999999 seconds' PRECEDING AND CURRENT ROW)"
+    query(f"SELECT event_id, round(sum(value) OVER w, 3) AS total, min(value) OVER w AS low, max(value) OVER w AS high FROM events WINDOW w AS {w}")(f)
+
+
+_by_time("rolling_6_hours", "", None)
+_by_time("rolling_6_hours_by_user", "PARTITION BY user_id ", "user_id")
+
+
 @query(f"SELECT event_id, row_number() OVER ({BY}) - 1 AS index FROM events")
 def row_index(spark, sf_dir):
     return ordered.row_index(_events(spark, sf_dir), ORDER).select("event_id", "index")

@@ -1,5 +1,7 @@
 """Scans without a partition run over ranges; they must equal one pass in order."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -91,3 +93,42 @@ def test_contracts(rows, spark):
     stream = spark.readStream.format("rate").load()
     with pytest.raises(ValueError):
         ordered.row_index(stream, "timestamp")
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+def test_reverse(rows, by):
+    df, want = rows
+    out = ordered.cumulative(df.withColumn("g", F.lit(1)), "o", {"v": ("sum", "x"), "low": ("min", "x")}, by, reverse=True).cache()
+    for column, series in (("v", want[::-1].cumsum()), ("low", want[::-1].cummin())):
+        pd.testing.assert_series_equal(values(out, column), series.sort_index(), check_names=False)
+
+
+def test_rolling_quantiles(rows, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 32)
+    df, want = rows
+    out = ordered.rolling(df, "x", 6, "o", {"md": "median", "v": 0.3}).cache()
+    pd.testing.assert_series_equal(values(out, "md"), want.rolling(6).median(), check_names=False)
+    pd.testing.assert_series_equal(values(out), want.rolling(6).quantile(0.3), check_names=False)
+    for bad in ("mode", 1.5, -0.1):
+        with pytest.raises(ValueError):
+            ordered.rolling(df, "x", 6, "o", {"v": bad})
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+def test_windows_by_time(spark, monkeypatch, by):
+    """Gaps, equal times and null times, in slices, against every pair of rows."""
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(6)
+    start = datetime.datetime(2024, 1, 1)
+    data = [(i, None if i % 50 == 0 else start + datetime.timedelta(seconds=int(rng.choice([0, 1000, 9000]) + rng.integers(0, 120))), None if rng.random() < 0.2 else float(rng.integers(1, 9))) for i in range(300)]
+    df = spark.createDataFrame(data, "o long, t timestamp, x double").withColumn("g", F.lit(1)).repartition(5)
+    for width in (1, 30, 700):
+        out = ordered.rolling_by(df, "x", "t", datetime.timedelta(seconds=width), {"v": "sum", "sd": "std", "md": "median"}, by).cache()
+        near = {o: pd.Series([x for _, s, x in data if s is not None and t is not None and 0 <= (t - s).total_seconds() < width and x is not None], dtype=float) for o, t, _ in data}
+        for column, f in (("v", lambda x: x.sum(min_count=1)), ("sd", lambda x: x.std()), ("md", lambda x: x.median())):
+            pd.testing.assert_series_equal(values(out, column), pd.Series({o: f(x) for o, x in near.items()}, dtype=float), check_names=False)
+    whole = df.withColumn("t", F.col("o") - 100)
+    assert values(ordered.rolling_by(whole, "o", "t", 3, {"v": "sum"}, by)).tolist() == [0.0, 1.0, *[3.0 * i - 3 for i in range(2, 300)]]
+    assert ordered.rolling_by(df.limit(0), "x", "t", datetime.timedelta(1), {"v": "sum"}, by).count() == 0
+    with pytest.raises(ValueError):
+        ordered.rolling_by(df, "x", "t", datetime.timedelta(0), {"v": "sum"}, by)

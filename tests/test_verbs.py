@@ -30,6 +30,22 @@ def test_neighbours(vectors, limit, metric):
             assert got[i, rank][0] == j and got[i, rank][1] == pytest.approx(abs(s[j]) if metric == "l2" else s[j], abs=1e-5)
 
 
+def test_corpus_stream_keeps_the_best_of_a_task(vectors, spark):
+    """The queries are held and every task sees many batches of the corpus; ties go to the smaller id."""
+    dq, dc, q, c = vectors
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = vector.neighbours(dq, dc.repartition(2), 5, matrix_bytes=2000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    s = q @ c.T / np.linalg.norm(c, axis=1) / np.linalg.norm(q, axis=1)[:, None]
+    want = {(i, r + 1): j for i in range(9) for r, j in enumerate(np.lexsort((np.arange(60), -np.round(s[i], 12)))[:5])}
+    assert {(r.query_id, r["rank"]): r.id for r in got} == want
+    batches = [(np.arange(a, a + 20), c[a : a + 20]) for a in (40, 0, 20)]
+    kept = [x for part in vector._past((np.arange(9), q), iter(batches), 5, "cosine") for x in part.itertuples(index=False)]
+    assert len(kept) == 45 and {(x.query_id, x.id) for x in kept} == {(i, j) for (i, _), j in want.items()}
+
+
 def test_neighbour_edges(vectors, spark):
     dq, dc, _, _ = vectors
     assert vector.cosine_topk(dq, dc, 500).groupBy("query_id").count().where("count <> 60").count() == 0
