@@ -232,3 +232,27 @@ def test_products(spark):
         assert np.allclose([r["product"] for r in got], a @ m)
     assert np.allclose([r.value for r in sorted(vector.gram(rows, "v").collect())], (a.T @ a).ravel())
     assert vector.matmul(rows.limit(0), matrix, "id", "v").count() == 0 and vector.gram(rows.limit(0), "v").count() == 0
+
+
+def test_wide_correlation_equals_the_narrow_one(spark, monkeypatch):
+    """Nulls, constants, a column constant where its partner is there, NaN, infinities, a large mean, one row and none."""
+    rng = np.random.default_rng(8)
+    data = []
+    for i in range(200):
+        a, b = rng.normal(size=2)
+        data.append((float(a), float(a + b), None if i % 3 else float(b), 5.0, 1e9 + float(b), 4.0 if i % 3 == 0 else float(a), float("nan") if i == 7 else float(a), float("inf") if i == 9 else float(b), None))
+    df = spark.createDataFrame(data, ", ".join(f"`c.{k}` double" for k in range(9))).withColumn("n", F.col("`c.0`").cast("int")).repartition(5)
+    for rows in (df, df.limit(1), df.limit(0)):
+        narrow = {r["column"]: tuple(r)[1:] for r in agg.corr_matrix(rows).collect()}
+        monkeypatch.setattr(agg, "NATIVE_COLUMNS", 2)
+        wide = agg.corr_matrix(rows)
+        monkeypatch.undo()
+        assert wide.columns == ["column", *df.columns]
+        for r in wide.collect():
+            want = narrow.pop(r["column"])
+            assert [x is None for x in tuple(r)[1:]] == [x is None for x in want]
+            assert tuple(x for x in tuple(r)[1:] if x is not None) == pytest.approx([x for x in want if x is not None], abs=1e-6, nan_ok=True)
+        assert narrow == {}
+    fifty = spark.range(1000).select(*[F.sin(F.col("id") * (k + 1)).alias(f"c{k}") for k in range(50)])
+    got, values = {r["column"]: tuple(r)[1:] for r in agg.corr_matrix(fifty).collect()}, np.sin(np.outer(np.arange(1000), np.arange(1, 51)))
+    assert np.array([got[f"c{k}"] for k in range(50)]) == pytest.approx(np.corrcoef(values.T), abs=1e-9)
