@@ -37,15 +37,21 @@ UNITS = (
 #: Stands for the points within numbers (private use).
 POINT = "\ue000"
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = "0", "n0", "u0"
+#: A capitalised word within a sentence. It looks back only where a capital stands: most of a scan's time otherwise.
+NAME = r"(?=\p{Lu})(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+"
 
 
-def _parted(text: Column) -> Column:
-    """Digits end where letters follow, so that a number and its unit are two tokens; 1,250 and 3.5 are one each."""
+def _part(text: Column) -> Column:
     out = F.regexp_replace(text, r",(?<=(?<!\p{N})\p{N}{1,3},)(?=\p{N}{3}(?!\p{N}))", "")
     out = F.regexp_replace(out, r"\.(?<=\p{N}\.)(?=\p{N})", POINT)
     return F.regexp_replace(out, r"(\p{N})(?=\p{L})", "$1 ")
 
 
+def _parted(text: Column) -> Column:
+    """Digits end where letters follow, so that a number and its unit are two tokens; 1,250 and 3.5 are one each."""
+    return F.when(text.rlike(r"\p{N}"), _part(text)).otherwise(text)
+
+
 def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{POINT}]+"), lambda x: x != "")
 
@@ -55,12 +61,20 @@ def plain(text: Column) -> Column:
     return _tokens(_parted(text))
 
 
+def _slotted(text: Column) -> Column:
+    out = F.regexp_replace(_part(text), NAME, "N0")
+    out = F.regexp_replace(out, rf"(?=\p{{N}})(?<![\p{{L}}\p{{N}}{POINT}])\p{{N}}+(?:{POINT}\p{{N}}+)*", "0")
+    return F.regexp_replace(out, rf"(?i)(?<=[^\p{{L}}]0[ -])(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "U0")
+
+
+def has_slots(text: Column) -> Column:
+    """Whether template() and plain() may differ: only a digit or a name makes a placeholder."""
+    return text.rlike(r"(?=[\p{N}\p{Lu}])(?:\p{N}|(?<=[\p{Ll},;:] )\p{Lu}\p{Ll})")  # one class first: an alternation is tried at every place
+
+
 def template(text: Column) -> Column:
     """The tokens with placeholders, one for one with plain()."""
-    out = F.regexp_replace(_parted(text), r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+", "N0")
-    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}{POINT}])\p{{N}}+(?:{POINT}\p{{N}}+)*", "0")
-    out = F.regexp_replace(out, rf"(?i)(?<=[^\p{{L}}]0[ -])(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "U0")
-    return _tokens(out)
+    return _tokens(F.when(has_slots(text), _slotted(text)).otherwise(text))
 
 
 def starts(text: Column) -> Column:
@@ -103,7 +117,8 @@ def _candidates(rows: DataFrame, items: DataFrame, size: int, stride: int, small
     own = items.select("item_id", F.explode(F.concat(by_template, by_plain)).alias("w"))
     own = own.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash")).distinct()  # without slots a window is the same twice
     own = F.broadcast(own) if small else own
-    seen = rows.select("doc_id", template(F.col("text")).alias("tokens"), plain(F.col("text")).alias("plain"))  # columns of their own: worked out once a text
+    own_plain = F.when(has_slots(F.col("text")), plain(F.col("text"))).otherwise(F.array().cast("array<string>"))  # else the template's windows are the plain ones
+    seen = rows.select("doc_id", template(F.col("text")).alias("tokens"), own_plain.alias("plain"))  # columns of their own: worked out once a text
     seen = seen.select("doc_id", _windows(F.col("tokens"), size, stride).alias("w"), _windows(F.col("plain"), size, stride).alias("exact"))
     other = F.filter(F.zip_with("w", "exact", lambda w, e: F.when(w["hash"] != e["hash"], e)), lambda e: e.isNotNull())
     seen = seen.select("doc_id", F.explode(F.concat("w", other)).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
@@ -141,7 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_items: int = 20_
     if sizes["short"]:
         found = found.unionByName(_candidates(rows, items.where(F.size("template") < RUN), SHORT, 1, small))
     found = written(found.distinct(), folder)
-    maybe, _ = split_by_ids(rows, "doc_id", found.select("doc_id"))
+    maybe, _ = split_by_ids(rows, "doc_id", found.select("doc_id"), 64)  # a text that is no candidate costs three tokenisations
     texts = maybe.select(F.col("doc_id").alias("own_id"), template(F.col("text")).alias("own"), plain(F.col("text")).alias("own_plain"), starts(F.col("text")).alias("own_starts"))
     pairs = found.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id"))).join(items, "item_id")
     first = F.greatest(F.col("shift"), F.lit(0))

@@ -145,7 +145,8 @@ def find_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col:
     folder = shared_folder(docs.sparkSession)
     rows = _rows(docs, id_col, text_col, row)
     terms = written(disclosing_terms(docs, support, threshold, id_col, text_col, folder).select("term").distinct(), folder)
-    words = rows.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
+    words = rows.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term")).withColumn("at", F.xxhash64("term"))
+    words, _ = split_by_ids(words, "at", terms.select(F.xxhash64("term").alias("at")), 64)  # else every word moves once the terms are too many to broadcast
     hits = written(words.join(terms, "term", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms")), folder)
     maybe, clean = split_by_ids(rows, "doc_id", hits.select("doc_id"))
     found = maybe.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id")

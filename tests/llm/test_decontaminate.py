@@ -1,6 +1,7 @@
 import re
 
 from helpers import documents
+from pyspark.sql import functions as F
 
 from orrery.llm import decontaminate
 
@@ -93,3 +94,45 @@ def test_verbatim_runs_at_every_offset(spark):
                 want.add((100 * k + offset, k))
     got = {(d, i) for d, i, *_ in leaks(spark, texts, items)}
     assert want <= got and {d for d, _ in got} <= {d for d, _ in texts}
+
+
+def unguarded(text):
+    """The placeholders and tokens by all patterns on every text, looking back at every place."""
+    parted = F.regexp_replace(text, r",(?<=(?<!\p{N})\p{N}{1,3},)(?=\p{N}{3}(?!\p{N}))", "")
+    parted = F.regexp_replace(parted, r"\.(?<=\p{N}\.)(?=\p{N})", decontaminate.POINT)
+    parted = F.regexp_replace(parted, r"(\p{N})(?=\p{L})", "$1 ")
+    out = F.regexp_replace(parted, r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+", "N0")
+    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}{decontaminate.POINT}])\p{{N}}+(?:{decontaminate.POINT}\p{{N}}+)*", "0")
+    out = F.regexp_replace(out, rf"(?i)(?<=[^\p{{L}}]0[ -])(?:{'|'.join(decontaminate.UNITS)})(?![\p{{L}}\p{{N}}])", "U0")
+    return decontaminate._tokens(out), decontaminate._tokens(parted)
+
+
+def test_guards_change_no_token(spark):
+    import random
+
+    rng = random.Random(9)
+    pieces = ["Boston", "a", "km", "é", "Éa", "X", "xY", "ßA", "\u01c5a", "\U00010400\U00010428", "12", "3", "1,250", ".5", "\u00b2", "\u0663", "n0", "0", decontaminate.POINT, " ", " ", " ", "-", ", ", "; ", ": ", ". ", "\n", "中"]
+    texts = [(k, "".join(rng.choice(pieces if k % 2 else [p for p in pieces if not any(c.isnumeric() for c in p)]) for _ in range(rng.randint(0, 9)))) for k in range(4000)]
+    rows = documents(spark, texts)
+    template, plain = unguarded(rows.text)
+    got = rows.select("text", template.alias("a"), decontaminate.template(rows.text).alias("b"), plain.alias("c"), decontaminate.plain(rows.text).alias("d"), decontaminate.has_slots(rows.text).alias("slots")).collect()
+    assert all(r.a == r.b and r.c == r.d and (r.slots or r.b == r.d) for r in got) and 500 < sum(r.slots for r in got) < 3500
+
+
+def test_texts_without_digits_skip_the_patterns(spark):
+    """Plain prose takes well under the time of all patterns (best of three)."""
+    import time
+
+    rows = documents(spark, {k: "the quick brown fox jumps over the lazy dog and sleeps; " * 4000 for k in range(8)}).repartition(1).cache()
+    rows.count()
+
+    def best(column):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            rows.select(F.size(column).alias("n")).agg(F.sum("n")).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert best(decontaminate.template(rows.text)) < 0.75 * best(unguarded(rows.text)[0])
+    rows.unpersist()

@@ -133,3 +133,24 @@ def test_many_matches_in_one_text(spark):
     got = docs.where("doc_id = 2").select(pii.masked(F.col("text"), pii.base_spans(F.col("text")))).first()[0]
     assert got == " ".join(["[EMAIL]"] * 16_000)
     assert time.time() - began < 30  # seconds; a quadratic way took minutes
+
+
+def test_few_words_move_without_a_broadcast(spark, monkeypatch):
+    """Before they meet the disclosing terms, words that can't be one of them go, however many the terms are."""
+    split, met = pii.split_by_ids, []
+
+    def watched(rows, *args, **kwargs):
+        maybe, rest = split(rows, *args, **kwargs)
+        if "term" in rows.columns:
+            met.append((maybe.count(), rest.count()))
+        return maybe, rest
+
+    texts = [(i, " ".join(f"word{i}x{k}" for k in range(200)) + (" secretname a.b@c.de" if i < 3 else "")) for i in range(30)]
+    monkeypatch.setattr(pii, "split_by_ids", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pii.find_pii(documents(spark, texts)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.doc_id for r in found if any(s.kind == 4 for s in r.spans)} == {0, 1, 2}
+    assert len(met) == 1 and sum(met[0]) >= 6000 and 3 <= met[0][0] < 0.1 * sum(met[0])
