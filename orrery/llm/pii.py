@@ -37,6 +37,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GATES = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
+#: What every match of a base pattern has; a class of single characters is looked up, alternatives are tried one by one.
+BASE = "[@0123456789]"
 TERM = r"(?<![\p{L}\p{N}_])(?:\p{L}[\p{L}\p{N}_]{3,}+|[\p{Lu}\p{Lo}]\p{L}{1,2}+(?![\p{L}\p{N}_]))"
 #: Code points of a piece that substrings are taken from.
 PIECE = 512
@@ -109,11 +111,14 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """term, entity, disclosure of the terms that pass, over all documents."""
-    folder = folder or shared_folder(docs.sparkSession)
+def _evidence(docs: DataFrame, support: int, threshold: float, id_col: str, text_col: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """term, entity, disclosure of the terms that pass, over all documents; and doc_id, term of the documents' words that could pass.
+
+    Those words are stored as they are counted, so that all texts are cut into words once. What documents with an entity show
+    is a least count of a word: words that are too frequent there already are not looked for in the others.
+    """
     rows = _rows(docs, id_col, text_col)
-    near = rows.where(F.col("text").rlike(r"@|[0-9]")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    near = rows.where(F.col("text").rlike(BASE)).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
     entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))
     near = written(near.select(F.monotonically_increasing_id().alias("unit"), F.array_distinct(F.transform("spans", entity)).alias("entities"), F.array_intersect(terms_of(F.col("text")), terms_of(replaced(F.col("text"), F.col("spans"), lambda _: F.lit(" ")))).alias("terms")), folder)
     each = near.select("unit", F.explode("entities").alias("entity"))
@@ -123,15 +128,24 @@ def disclosing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9,
     rare = lambda c_t, c_e: c_t <= (1 + 1e-9) * total ** (1 - threshold) * F.pow(c_e.cast("double"), F.lit(threshold))
     own = written(each.join(entities, "entity").groupBy("unit").agg(F.collect_list(F.struct("entity", "c_e")).alias("own")), folder)  # as wide as one document
     close = near.select("unit", "terms").join(own.select("unit"), "unit").select("unit", F.explode("terms").alias("term"))
-    wanted = close.groupBy("term").agg(F.count(F.lit(1)).alias("near")).where(F.col("near") >= support).select("term")
-    counts = rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))  # a frequent word is one row a task before it meets others
-    counts = written(counts.where(rare(F.col("c_t"), F.lit(most))).join(wanted, "term"), folder)  # inner: a semi-join would be pushed below the counts
+    shared = near.join(own.select("unit", F.lit(1).alias("shared")), "unit", "left").select("shared", F.explode("terms").alias("term"))
+    wanted = shared.groupBy("term").agg(F.count("shared").alias("near"), F.count(F.lit(1)).alias("least"))
+    wanted = written(wanted.where((F.col("near") >= support) & rare(F.col("least"), F.lit(most))).select("term"), folder)
+    words = rows.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term")).withColumn("at", F.xxhash64("term"))
+    words, _ = split_by_ids(words, "at", wanted.select(F.xxhash64("term").alias("at")), 64)  # else every word moves once these are too many to broadcast
+    words = written(words.join(wanted, "term").select("doc_id", "term"), folder)
+    counts = written(words.groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).where(rare(F.col("c_t"), F.lit(most))), folder)
     terms = close.join(counts, "term").groupBy("unit").agg(F.collect_list(F.struct("term", "c_t")).alias("terms"))
     pairs = own.join(terms, "unit").select(F.explode("own").alias("e"), "terms").select("e", F.explode("terms").alias("t")).select("e.*", "t.*").where(rare(F.col("c_t"), F.col("c_e")))
     pairs = pairs.groupBy("entity", "c_e", "term", "c_t").agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support)
     ratio = lambda a, b: F.log(a * float(total) / b)
     score = ratio(F.col("c_et"), F.col("c_e") * F.col("c_t")) / F.greatest(ratio(F.lit(1.0), F.col("c_e")), F.lit(1e-9))
-    return pairs.select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return pairs.select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold), words
+
+
+def disclosing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """term, entity, disclosure of the terms that pass, over all documents."""
+    return _evidence(docs, support, threshold, id_col, text_col, folder or shared_folder(docs.sparkSession))[0]
 
 
 def _among(word: Column, ordered: Column) -> Column:
@@ -144,9 +158,8 @@ def find_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col:
     """doc_id, text, base and spans (sorted structs start, kind, end) of every row; row: its columns as a struct."""
     folder = shared_folder(docs.sparkSession)
     rows = _rows(docs, id_col, text_col, row)
-    terms = written(disclosing_terms(docs, support, threshold, id_col, text_col, folder).select("term").distinct(), folder)
-    words = rows.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term")).withColumn("at", F.xxhash64("term"))
-    words, _ = split_by_ids(words, "at", terms.select(F.xxhash64("term").alias("at")), 64)  # else every word moves once the terms are too many to broadcast
+    terms, words = _evidence(docs, support, threshold, id_col, text_col, folder)
+    terms = written(terms.select("term").distinct(), folder)
     hits = written(words.join(terms, "term", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms")), folder)
     maybe, clean = split_by_ids(rows, "doc_id", hits.select("doc_id"))
     found = maybe.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").drop("hit_id")
@@ -154,7 +167,7 @@ def find_pii(docs: DataFrame, support: int = 3, threshold: float = 0.9, id_col:
     base = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     added = F.filter(_located(F.col("text"), TERM), lambda s: _among(F.lower(s["value"]), F.col("terms")))
     added = F.transform(added, lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
-    found = found.withColumn("base", F.coalesce(F.when(F.col("text").rlike(r"@|[0-9]"), base), F.array().cast(EMPTY)))
+    found = found.withColumn("base", F.coalesce(F.when(F.col("text").rlike(BASE), base), F.array().cast(EMPTY)))
     return found.select("doc_id", "text", *["row"] * row, "base", F.when(F.col("terms").isNotNull() & F.col("text").isNotNull(), F.array_sort(F.concat("base", added))).otherwise(F.col("base")).alias("spans"))
 
 

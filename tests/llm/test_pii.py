@@ -154,3 +154,23 @@ def test_few_words_move_without_a_broadcast(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r.doc_id for r in found if any(s.kind == 4 for s in r.spans)} == {0, 1, 2}
     assert len(met) == 1 and sum(met[0]) >= 6000 and 3 <= met[0][0] < 0.1 * sum(met[0])
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """Words that could pass are stored as they are counted; those that documents with an entity show to be too frequent are not."""
+    cut, write, uses, stored = pii.terms_of, pii.written, [], []
+
+    def watched(df, *args):
+        out = write(df, *args)
+        if df.columns == ["doc_id", "term"]:
+            stored.append(out)
+        return out
+
+    monkeypatch.setattr(pii, "terms_of", lambda text: uses.append(1) or cut(text))
+    monkeypatch.setattr(pii, "written", watched)
+    mail = lambda i: "a.b@c.de" if i < 3 else f"m{i}@c.de" if i < 13 else ""
+    texts = [(i, f"common word{i}x {mail(i)} {'secretname' if i < 3 or i == 20 else ''}") for i in range(60)]
+    found = pii.find_pii(documents(spark, texts)).collect()
+    assert {r.doc_id for r in found if any(s.kind == 4 for s in r.spans)} == {0, 1, 2, 20}
+    assert len(uses) == 3  # twice in documents with an entity, with and without it, and once in all
+    assert len(stored) == 1 and sorted(tuple(r) for r in stored[0].collect()) == [(i, "secretname") for i in (0, 1, 2, 20)]
