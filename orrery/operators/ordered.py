@@ -7,16 +7,20 @@ ranges' totals, one row a range.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orrery.storage import written
+from orrery.storage import ship, written
 
-BLOCK, AT, HALO = "__block", "__at", "__halo"
+BLOCK, AT, HALO, FIRST = "__block", "__at", "__halo", "__first"
 #: Rows of a block of rolling windows; a block also holds the rows that its windows reach back to.
 BLOCK_ROWS = 1 << 16
 
@@ -185,12 +189,118 @@ def rolling(df: DataFrame, column: str, window: int, order_by: str | list[str],
     return out.select(*[c for c in df.columns if c not in into], *into)
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Counts, means and squared deviations of neighbouring runs of values, put together."""
+    n = a[0] + b[0]
+    apart, share = b[1] - a[1], b[0] / np.maximum(n, 1)
+    return n, a[1] + apart * share, a[2] + b[2] + apart * apart * a[0] * share
+
+
+def _windowed(x: np.ndarray, there: np.ndarray, start: np.ndarray, end: np.ndarray, names: list[str]) -> dict[str, pa.Array]:
+    """Aggregates of x[start:end] for every window, each with a row or more, from those of runs of 1, 2, 4 and so on values.
+
+    n log n steps for windows of any length; nothing is subtracted, so that no value outside a window touches it.
+    """
+    sizes = end - start
+    before = np.concatenate([[0], np.cumsum(there)])
+    count = before[end] - before[start]
+    held, at, out = {}, start.copy(), {}
+    with np.errstate(all="ignore"):
+        if {"sum", "mean"} & set(names):
+            held["sum"], out["sum"] = np.where(there, x, 0.0), np.zeros(len(start))
+        if "min" in names:
+            held["min"], out["min"] = np.where(there, x, np.nan), np.zeros(len(start))  # fmin passes over NaN, the largest value
+        if "max" in names:
+            held["max"], out["max"] = np.where(there, x, -np.inf), np.zeros(len(start))
+        if {"var", "std"} & set(names):
+            held["spread"], out["spread"] = (there.astype(float), np.where(there, x, 0.0), np.where(there & ~np.isfinite(x), np.nan, 0.0)), tuple(np.zeros((3, len(start))))
+        merge = {"sum": np.add, "min": np.fmin, "max": np.maximum}
+        for k in range(int(sizes.max(initial=0)).bit_length()):
+            run = 1 << k
+            last, odd = np.nonzero(sizes >> k == 1)[0], np.nonzero(sizes >> k & 1)[0]
+            for name, values in held.items():
+                if name in ("min", "max"):  # two runs that may overlap
+                    out[name][last] = merge[name](values[start[last]], values[end[last] - run])
+                elif name == "sum":
+                    out[name][odd] += values[at[odd]]
+                else:
+                    for into, part in zip(out[name], _merged(tuple(v[odd] for v in out[name]), tuple(v[at[odd]] for v in values)), strict=True):
+                        into[odd] = part
+                held[name] = _merged(tuple(v[:-run] for v in values), tuple(v[run:] for v in values)) if name == "spread" else merge[name](values[:-run], values[run:])
+            at[odd] += run
+        if "mean" in names:
+            out["mean"] = out["sum"] / count
+        if "spread" in out:
+            out["var"] = out["spread"][2] / (out["spread"][0] - 1)
+            out["std"] = np.sqrt(out["var"])
+    return {name: pa.array(out[name], pa.float64(), mask=count < (2 if name in ("var", "std") else 1)) for name in set(names)}
+
+
+def _slide(width: int, into: dict[str, str], keep: list[int], names: list[str], block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rolling_by() over rows sorted by group and time: columns, then time, value, whether a group starts, whether the row is a copy.
+
+    Holds the rows of the widest window and those that wait for the last row of their time, `block` rows at least.
+    """
+
+    def run(batches):
+        group = []  # batches that aren't out yet
+        back = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))  # rows that are out, but in reach
+        waiting, enough = 0, block
+
+        def numbers(table):
+            x = table.column(-3)
+            return table.column(-4).to_numpy(), x.fill_null(0.0).to_numpy(), x.is_valid().to_numpy()
+
+        def flush(final):
+            nonlocal group, back, waiting, enough
+            if not group:
+                return None
+            table = pa.Table.from_batches(group).combine_chunks()
+            t, x, there = (np.concatenate(both) for both in zip(back, numbers(table), strict=True))
+            old, until = len(back[0]), len(t) if final else int(np.searchsorted(t, t[-1]))
+            if until <= old:  # all of one time: as many again, before it is tried again
+                group, enough = table.to_batches(), 2 * waiting
+                return None
+            low = np.iinfo(np.int64).min
+            reach = lambda v: np.where(v < low + width, low, v - (width - 1))
+            start, end = np.searchsorted(t, reach(t[old:until])), np.searchsorted(t, t[old:until], "right")
+            made = _windowed(x, there, start, end, list(into.values()))
+            ready = table.slice(0, until - old)
+            out = pa.Table.from_arrays([*[ready.column(k) for k in keep], *[made[name] for name in into.values()]], names=names)
+            first = len(t) if final else int(np.searchsorted(t, reach(t[until : until + 1]))[0])
+            back = tuple(v[first:until] for v in (t, x, there))
+            rest = table.slice(until - old)
+            group, waiting = rest.to_batches() if rest.num_rows else [], rest.num_rows
+            enough = max(block, len(back[0])) + waiting
+            return out.filter(pc.invert(ready.column(-1))).combine_chunks()
+
+        for batch in batches:
+            cuts = [0, *np.nonzero(batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False))[0].tolist(), batch.num_rows]
+            for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if k and (done := flush(True)) is not None:
+                    yield from done.to_batches()
+                if k:
+                    back, waiting, enough = tuple(v[:0] for v in back), 0, block
+                if i == j:
+                    continue
+                group.append(batch.slice(i, j - i))
+                waiting += j - i
+                if waiting >= enough and (done := flush(False)) is not None:
+                    yield from done.to_batches()
+        if (done := flush(True)) is not None:
+            yield from done.to_batches()
+
+    return run
+
+
 def rolling_by(df: DataFrame, column: str, on: str, width: timedelta | int, into: dict[str, str | float], partition_by: str | list[str] | None = None) -> DataFrame:
     """Trailing windows (t - width, t] of a timestamp or date (width: a timedelta) or integer column `on`; into as in rolling().
 
     A window holds all rows of its times; null without a value, a variance with one. Rows whose `on` is null get null.
     Without `partition_by` the times are cut into slices of equal width, at least a window wide, as many as the rows have
-    BLOCK_ROWS; a slice also holds the rows that its windows reach back to. Rows of one slice meet in one task.
+    BLOCK_ROWS; a slice also holds the rows that its windows reach back to. Rows of one slice, or of one key, meet in one task,
+    which holds those of a window at a time, and takes n log n steps however many rows a window has. Only with a median or
+    quantile each window is worked out anew, in time that grows with it.
     """
     _check_rolling(into)
     t = F.col(on)
@@ -212,7 +322,15 @@ def rolling_by(df: DataFrame, column: str, on: str, width: timedelta | int, into
         copies = F.array(F.struct(block.alias("b"), F.lit(False).alias("h")), F.when(reaches, F.struct((block + 1).alias("b"), F.lit(True).alias("h"))))
         rows = placed.withColumn("__copy", F.explode(F.array_compact(copies))).withColumn(BLOCK, F.col("__copy.b")).withColumn(HALO, F.col("__copy.h")).drop("__copy")
         base = Window.partitionBy(BLOCK)
-    frame, x = base.orderBy(AT).rangeBetween(1 - width, 0), F.col(column).cast("double")
-    done = rows.withColumns({new: _rolled(name, x, frame, F.var_samp(x).over(frame)) for new, name in into.items()}).where(~F.col(HALO))
-    names = [*[c for c in df.columns if c not in into], *into]
+    x, kept = F.col(column).cast("double"), [c for c in df.columns if c not in into]
+    names = [*kept, *into]
+    if all(name in ROLLING and name != "median" for name in into.values()):
+        ship(df.sparkSession)
+        sorted_rows = rows.withColumn(FIRST, F.row_number().over(base.orderBy(AT)) == 1).select(*df.columns, AT, x, FIRST, HALO)  # x only here: it isn't moved twice
+        schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in kept], *[T.StructField(c, T.DoubleType()) for c in into]])
+        slide = _slide(width, into, [k for k, c in enumerate(df.columns) if c not in into], names, BLOCK_ROWS)
+        done = sorted_rows.toDF(*[f"c{k}" for k in range(len(sorted_rows.columns))]).mapInArrow(slide, schema)
+    else:
+        frame = base.orderBy(AT).rangeBetween(1 - width, 0)
+        done = rows.withColumns({new: _rolled(name, x, frame, F.var_samp(x).over(frame)) for new, name in into.items()}).where(~F.col(HALO))
     return done.select(*names).unionByName(rest.withColumns(dict.fromkeys(into, F.lit(None).cast("double"))).select(*names))

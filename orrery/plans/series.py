@@ -90,7 +90,8 @@ def rolling_quantiles(spark, sf_dir):
 
 def _by_time(name: str, keys: str, by: str | None):
     def f(spark, sf_dir):
-        out = ordered.rolling_by(_events(spark, sf_dir), "value", "ts", timedelta(hours=6), {"total": "sum", "low": "min", "high": "max"}, by)
+        rows = load(spark, sf_dir, "events", ["event_id", "ts", "value", *([by] if by else [])])
+        out = ordered.rolling_by(rows, "value", "ts", timedelta(hours=6), {"total": "sum", "low": "min", "high": "max"}, by)
         return out.select("event_id", F.round("total", 3).alias("total"), "low", "high")
 
     f.__name__ = name

@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery.operators import ordered
@@ -132,3 +133,41 @@ def test_windows_by_time(spark, monkeypatch, by):
     assert ordered.rolling_by(df.limit(0), "x", "t", datetime.timedelta(1), {"v": "sum"}, by).count() == 0
     with pytest.raises(ValueError):
         ordered.rolling_by(df, "x", "t", datetime.timedelta(0), {"v": "sum"}, by)
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+@pytest.mark.parametrize("block", [4, 1000])
+def test_windows_by_time_equal_spark_frames(spark, monkeypatch, by, block):
+    """Nulls, NaN, infinities, many equal times, several groups, other columns; blocks shorter and longer than windows."""
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(8)
+    odd = [None, None, float("nan"), float("inf"), float("-inf"), 0.0]
+    data = [(i, int(rng.choice([5, 40, 400, -(1 << 62)]) + rng.integers(0, 30)), int(rng.integers(0, 3)), odd[rng.integers(0, 6)] if rng.random() < 0.15 else float(rng.normal()), [f"é{i}"]) for i in range(400)]
+    df = spark.createDataFrame(data, "o long, t long, g int, x double, s array<string>").where("t > 0 or g is not null").repartition(3)
+    names = {"s_": "sum", "m": "mean", "low": "min", "high": "max", "x": "std", "v": "var"}
+    functions = {"s_": F.sum, "m": F.avg, "low": F.min, "high": F.max, "x": F.stddev_samp, "v": F.var_samp}
+    for width in (1, 7, 100):
+        frame = Window.partitionBy(*[by] * (by is not None)).orderBy("t").rangeBetween(1 - width, 0)
+        want = {r["o"]: r for r in df.select("o", "t", "g", "s", *[f(F.col("x")).over(frame).alias(n) for n, f in functions.items()]).collect()}
+        out = ordered.rolling_by(df, "x", "t", width, names, by)
+        assert out.columns == ["o", "t", "g", "s", *names]
+        got = out.collect()
+        assert len(got) == len(want) == 400
+        for r in got:
+            w = want[r["o"]]
+            assert (r["t"], r["g"], r["s"]) == (w["t"], w["g"], w["s"])
+            for n in names:
+                assert (r[n] is None) == (w[n] is None) and (r[n] is None or np.isclose(r[n], w[n], rtol=1e-9, atol=1e-12, equal_nan=True)), (n, r, w)
+
+
+def test_long_windows_by_time(spark):
+    """Every window holds all rows before it; working each out anew takes the square of the rows."""
+    import time
+
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("t"), (F.col("id") % 1000).cast("double").alias("x"))
+    began = time.time()
+    got = ordered.rolling_by(df, "x", "t", n, {"v": "sum", "low": "min", "high": "max"}).agg(F.count("*"), F.sum("v"), F.sum("low"), F.min("v"), F.max("high")).first()
+    x = np.arange(n) % 1000
+    assert tuple(got) == (n, float(np.cumsum(x).sum()), 0.0, 0.0, 999.0)
+    assert time.time() - began < 60  # seconds
